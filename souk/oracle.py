@@ -310,3 +310,187 @@ def canonical_sql(sql: str, doubles: tuple[str, ...]) -> str:
         r = f"round_even({c} * 1000000.0, 0) / 1000000.0"
         parts.append(f"CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END AS {c}")
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM (\n{sql}\n) AS q"
+
+
+# Ranking and segments over the naive seller mart (c10).
+REMOVAL_WINDOW = (
+    "ORDER BY profits ASC NULLS FIRST, seller_id DESC NULLS LAST, "
+    "seller_city DESC NULLS LAST, seller_state DESC NULLS LAST"
+)
+
+
+def _cutoff(c: int, of: int = 2970) -> str:
+    return f"CAST(floor({c} * n_sellers / CAST({of} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+
+
+SEGMENT_CTES = {
+    "ranked0": f"""
+SELECT *, sales / n_orders AS sales_per_order,
+  ROW_NUMBER() OVER ({REMOVAL_WINDOW}) AS removal_rank,
+  coalesce(SUM(coalesce(profits, 0)) OVER ({REMOVAL_WINDOW}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS removed_before,
+  COUNT(*) OVER () AS n_sellers, SUM(profits) OVER () AS total_profits
+FROM c10""",
+    "ranked": f"""
+SELECT *, n_sellers + 1 - removal_rank AS profit_rank,
+  {_cutoff(180)} AS k_worst, {_cutoff(500)} AS k_bad, {_cutoff(1300)} AS k_neutral
+FROM ranked0""",
+    "curve": """
+SELECT removal_rank - 1 AS n_sellers_removed,
+  (-removed_before / total_profits) * 100 AS benefits_of_removing, k_worst, k_bad, k_neutral
+FROM ranked""",
+    "segments": """
+SELECT *, CASE WHEN removal_rank <= k_worst THEN 'Worst' WHEN removal_rank <= k_bad THEN 'Bad'
+  WHEN removal_rank <= k_neutral THEN 'Neutral' ELSE 'Good' END AS profile
+FROM ranked""",
+    "cohorts": """
+SELECT *, 'worst' AS cohort FROM ranked WHERE removal_rank <= k_worst
+UNION ALL SELECT *, 'bad' FROM ranked WHERE removal_rank <= k_bad
+UNION ALL SELECT *, 'neutral' FROM ranked WHERE removal_rank <= k_neutral
+UNION ALL SELECT *, 'good' FROM ranked WHERE removal_rank > k_neutral""",
+}
+OPERATOR_CTES.update(SEGMENT_CTES)
+
+
+def kde_sql(prefix: str, src: str, group: str, value: str, gridsize: int, cut: float) -> tuple[dict[str, str], str]:
+    """CTEs and final SELECT of a grid Gaussian KDE of ``value`` per ``group``."""
+    g1 = gridsize - 1
+    ctes = {
+        f"{prefix}_v": f"SELECT {group} AS g, {value} AS v FROM {src} "
+                       f"WHERE {value} IS NOT NULL AND {group} IS NOT NULL",
+        f"{prefix}_s": f"""
+SELECT g, n, bw, lo - {cut} * bw AS start, hi + {cut} * bw AS stop
+FROM (SELECT g, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS bw, min(v) AS lo,
+        max(v) AS hi FROM {prefix}_v GROUP BY g)
+WHERE bw > 0""",
+        f"{prefix}_g": f"""
+SELECT g, n, bw, CAST(j AS INTEGER) AS point,
+  CASE WHEN j = {g1} THEN stop ELSE j * ((stop - start) / {g1}) + start END AS x
+FROM {prefix}_s, range(0, {gridsize}) AS t(j)""",
+        f"{prefix}_c": f"SELECT g, v, count(*) AS c FROM {prefix}_v GROUP BY g, v",
+    }
+    select = f"""
+SELECT g AS {group}, point, x,
+  sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())) AS density
+FROM {prefix}_g JOIN {prefix}_c USING (g) GROUP BY g, point, x, n, bw"""
+    return ctes, select
+
+
+def quartiles_sql(src: str, group: str, value: str) -> str:
+    return f"""
+SELECT {group}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+  quantile_cont({value}, 0.75) AS q3
+FROM {src} WHERE {value} IS NOT NULL AND {group} IS NOT NULL GROUP BY {group}"""
+
+
+def box_sql(src: str, group: str, value: str, whis: float = 1.5) -> str:
+    return f"""
+SELECT {group}, n, q1, median, q3,
+  CASE WHEN wlo IS NULL OR wlo > q1 THEN q1 ELSE wlo END AS whislo,
+  CASE WHEN whi IS NULL OR whi < q3 THEN q3 ELSE whi END AS whishi, n_fliers
+FROM (
+  SELECT d.{group}, q1, median, q3, count(d.{value}) AS n,
+    min(CASE WHEN d.{value} >= q1 - {whis} * (q3 - q1) THEN d.{value} END) AS wlo,
+    max(CASE WHEN d.{value} <= q3 + {whis} * (q3 - q1) THEN d.{value} END) AS whi,
+    count(*) FILTER (WHERE d.{value} < q1 - {whis} * (q3 - q1)
+                     OR d.{value} > q3 + {whis} * (q3 - q1)) AS n_fliers
+  FROM {src} d JOIN ({quartiles_sql(src, group, value)}) q USING ({group})
+  WHERE d.{value} IS NOT NULL
+  GROUP BY d.{group}, q1, median, q3)"""
+
+
+def kde_query(prefix: str, src: str, group: str, value: str, gridsize: int, cut: float):
+    """(oracle SQL, double columns) of a KDE query, for a registry entry."""
+    ctes, select = kde_sql(prefix, src, group, value, gridsize, cut)
+    OPERATOR_CTES.update(ctes)
+    return select, ("x", "density")
+
+
+def violin_query(prefix: str, src: str, group: str, value: str):
+    ctes, select = kde_sql(prefix, src, group, value, 100, 2.0)
+    ctes[f"{prefix}_k"] = select
+    ctes[f"{prefix}_q"] = quartiles_sql(src, group, value)
+    OPERATOR_CTES.update(ctes)
+    return (
+        f"SELECT * FROM {prefix}_k LEFT JOIN {prefix}_q USING ({group})",
+        ("x", "density", "q1", "median", "q3"),
+    )
+
+
+def _he(x: str, digits: int) -> str:
+    return half_even(x, digits)
+
+
+OPERATOR_CTES.update({
+    "l1": f"""
+SELECT order_id, wait_time, expected_wait_time,
+  CASE WHEN d < 0 THEN 0.0 ELSE d END AS delay_vs_expected, order_status
+FROM (SELECT order_id, order_status,
+        {days('order_purchase_timestamp', 'order_delivered_customer_date')} AS wait_time,
+        {days('order_purchase_timestamp', 'order_estimated_delivery_date')} AS expected_wait_time,
+        {days('order_estimated_delivery_date', 'order_delivered_customer_date')} AS d
+      FROM m_orders WHERE order_status = 'delivered')""",
+    "l3": """
+SELECT order_id, max(order_item_id) AS number_of_products FROM m_items
+WHERE order_id IS NOT NULL GROUP BY order_id""",
+    "l8": f"""
+SELECT seller_id,
+  {mean_days(late_micros('i.shipping_limit_date', 'o.order_delivered_carrier_date'))} AS delay_to_carrier,
+  {mean_days(micros('o.order_purchase_timestamp', 'o.order_delivered_customer_date'))} AS wait_time
+FROM m_items i JOIN m_orders o USING (order_id)
+WHERE seller_id IS NOT NULL GROUP BY seller_id""",
+    "l9": """
+SELECT seller_id, min(order_purchase_timestamp) AS date_first_sale,
+  max(order_purchase_timestamp) AS date_last_sale
+FROM m_items JOIN m_orders USING (order_id) WHERE seller_id IS NOT NULL GROUP BY seller_id""",
+    "l10": """
+SELECT seller_id, avg(dim_is_five_star) AS share_of_five_stars,
+  avg(dim_is_one_star) AS share_of_one_stars, avg(review_score) AS review_score
+FROM (SELECT * FROM b7 WHERE COLUMNS(*) IS NOT NULL) JOIN m_items USING (order_id)
+WHERE seller_id IS NOT NULL GROUP BY seller_id""",
+    "l11": """
+SELECT seller_id, count(DISTINCT order_id) AS n_orders, count(product_id) AS quantity,
+  count(product_id) / count(DISTINCT order_id) AS quantity_per_order
+FROM m_items WHERE seller_id IS NOT NULL GROUP BY seller_id""",
+    "l12": """
+SELECT seller_id, seller_city, seller_state, delay_to_carrier, wait_time, date_first_sale,
+  date_last_sale, share_of_five_stars, share_of_one_stars, review_score, n_orders, quantity,
+  quantity_per_order, sales
+FROM m_sellers JOIN l8 USING (seller_id) JOIN l9 USING (seller_id) JOIN l10 USING (seller_id)
+  JOIN l11 USING (seller_id) JOIN c6 USING (seller_id)""",
+    "h1": """
+SELECT review_id, CAST(length(coalesce(review_comment_message, '')) AS INTEGER) AS length_review,
+  review_score FROM m_reviews""",
+    "h2": """
+SELECT order_id, product_category_name AS product_category FROM (
+  SELECT order_id, product_category_name, ROW_NUMBER() OVER (PARTITION BY order_id
+    ORDER BY n_items DESC, price_sum DESC, product_category_name) AS rn
+  FROM (SELECT order_id, product_category_name, count(*) AS n_items,
+          coalesce(sum(price), 0) AS price_sum
+        FROM m_items JOIN m_products USING (product_id)
+        WHERE product_category_name IS NOT NULL
+        GROUP BY order_id, product_category_name))
+WHERE rn = 1""",
+    "h3": """
+SELECT review_id, order_id,
+  CAST(length(coalesce(review_comment_message, '')) AS INTEGER) AS review_comment_length,
+  product_category
+FROM m_reviews LEFT JOIN h2 USING (order_id)""",
+    "e14": f"""
+SELECT DISTINCT * FROM (
+  SELECT seller_city, avg_delay_to_carrier, avg_wait_time, avg_active_months, avg_review_score,
+    total_profits, total_sales, n_sellers, lat, lng
+  FROM (SELECT seller_city,
+          {_he(_he('avg(delay_to_carrier)', 1), 0)} AS avg_delay_to_carrier,
+          {_he(_he('avg(wait_time)', 1), 0)} AS avg_wait_time,
+          {_he(_he('avg(active_months)', 1), 0)} AS avg_active_months,
+          {_he(_he('avg(review_score)', 1), 0)} AS avg_review_score,
+          {_he('coalesce(sum(profits), 0.0)', 0)} AS total_profits,
+          {_he('coalesce(sum(sales), 0.0)', 0)} AS total_sales,
+          count(seller_id) AS n_sellers
+        FROM c10 WHERE seller_city IS NOT NULL GROUP BY seller_city)
+  JOIN (SELECT DISTINCT seller_city, {_he('geolocation_lat', 2)} AS lat,
+          {_he('geolocation_lng', 2)} AS lng
+        FROM c10 WHERE seller_city IS NOT NULL) USING (seller_city))
+WHERE COLUMNS(*) IS NOT NULL""",
+})

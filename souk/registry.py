@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from souk import oracle as sql
 from souk.functions.canonical import canonical
-from souk.operators import link, orders, products, reviews, sellers
+from souk.operators import analysis, link, orders, products, reviews, segments, sellers
 from souk.sources.catalog import Marketplace
 from souk.sources.star import load_star_marketplace
 
@@ -60,22 +60,12 @@ QUERIES: dict[str, Query] = {
         lambda m: orders.wait_time(m, is_delivered=False), _select("b1_all"), WAIT
     ),
     "order_wait_time_legacy": Query(
-        lambda m: orders.wait_time(m, legacy=True),
-        f"""SELECT order_id, wait_time, expected_wait_time,
-  CASE WHEN d < 0 THEN 0.0 ELSE d END AS delay_vs_expected, order_status
-FROM (SELECT order_id, order_status,
-        {sql.days('order_purchase_timestamp', 'order_delivered_customer_date')} AS wait_time,
-        {sql.days('order_purchase_timestamp', 'order_estimated_delivery_date')} AS expected_wait_time,
-        {sql.days('order_estimated_delivery_date', 'order_delivered_customer_date')} AS d
-      FROM m_orders WHERE order_status = 'delivered')""",
-        WAIT,
+        lambda m: orders.wait_time(m, legacy=True), _select("l1"), WAIT
     ),
     "order_review_flags": Query(orders.review_flags, _select("b2")),
     "order_item_count": Query(orders.number_of_products, _select("b3")),
     "order_item_count_legacy": Query(
-        lambda m: orders.number_of_products(m, legacy=True),
-        """SELECT order_id, max(order_item_id) AS number_of_products FROM m_items
-WHERE order_id IS NOT NULL GROUP BY order_id""",
+        lambda m: orders.number_of_products(m, legacy=True), _select("l3")
     ),
     "order_seller_count": Query(orders.number_of_sellers, _select("b4")),
     "order_price_freight": Query(orders.price_and_freight, _select("b5"), ("price", "freight_value")),
@@ -90,6 +80,16 @@ SELECT order_id, wait_time, expected_wait_time, delay_vs_expected, order_status,
   dim_is_five_star, dim_is_one_star, review_score, number_of_products, number_of_sellers,
   price, freight_value
 FROM b1_all JOIN b2 USING (order_id) JOIN b3 USING (order_id) JOIN b4 USING (order_id)
+  JOIN b5 USING (order_id)) WHERE COLUMNS(*) IS NOT NULL""",
+        ORDER_DOUBLES,
+    ),
+    "order_features_legacy": Query(
+        lambda m: orders.order_features(m, legacy=True),
+        """SELECT * FROM (
+SELECT order_id, wait_time, expected_wait_time, delay_vs_expected, order_status,
+  dim_is_five_star, dim_is_one_star, review_score, number_of_products, number_of_sellers,
+  price, freight_value
+FROM l1 JOIN b2 USING (order_id) JOIN l3 USING (order_id) JOIN b4 USING (order_id)
   JOIN b5 USING (order_id)) WHERE COLUMNS(*) IS NOT NULL""",
         ORDER_DOUBLES,
     ),
@@ -110,6 +110,12 @@ WHERE COLUMNS(*) IS NOT NULL""",
     "seller_costs": Query(sellers.costs, _select("c8"), ("costs",)),
     "seller_profits": Query(sellers.profits, _select("c9"), ("profits",)),
     "seller_mart": Query(sellers.seller_mart, _select("c10"), SELLER_MART_DOUBLES),
+    "seller_mart_legacy": Query(
+        sellers.legacy_seller_mart,
+        _not_null("l12"),
+        ("delay_to_carrier", "wait_time", "share_of_five_stars", "share_of_one_stars",
+         "review_score", "quantity_per_order", "sales"),
+    ),
     # product mart
     "product_features": Query(products.product_features, _select("d1")),
     "product_price": Query(products.price, _select("d2"), ("price",)),
@@ -121,8 +127,117 @@ WHERE COLUMNS(*) IS NOT NULL""",
     "product_quantity": Query(products.quantity, _select("d8")),
     "product_sales": Query(products.sales, _select("d9"), ("sales",)),
     "product_mart": Query(products.product_mart, _select("d10"), PRODUCT_MART_DOUBLES),
+    # reviews
+    "review_length": Query(reviews.review_length, _select("h1")),
+    "review_main_category": Query(reviews.main_product_category, _select("h2")),
+    "review_features": Query(reviews.review_features, _select("h3")),
+    # ranking, what-if and segments over the seller mart
+    "seller_ranked": Query(
+        lambda m: segments.seller_ranking(_ranked(m)),
+        "SELECT seller_id, profits, sales_per_order, profit_rank FROM ranked",
+        ("profits", "sales_per_order"),
+    ),
+    "removal_gain_curve": Query(
+        lambda m: segments.removal_gain_curve(_ranked(m)),
+        "SELECT n_sellers_removed, benefits_of_removing FROM curve",
+        ("benefits_of_removing",),
+    ),
+    "removal_gain_points": Query(
+        lambda m: segments.removal_gain_points(_ranked(m)),
+        """SELECT 'worst' AS point, n_sellers_removed, benefits_of_removing FROM curve
+  WHERE n_sellers_removed = k_worst
+UNION ALL SELECT 'bad', n_sellers_removed, benefits_of_removing FROM curve
+  WHERE n_sellers_removed = k_bad
+UNION ALL SELECT 'neutral', n_sellers_removed, benefits_of_removing FROM curve
+  WHERE n_sellers_removed = k_neutral
+UNION ALL (SELECT 'best', n_sellers_removed, benefits_of_removing FROM curve
+  WHERE benefits_of_removing IS NOT NULL
+  ORDER BY benefits_of_removing DESC, n_sellers_removed LIMIT 1)""",
+        ("benefits_of_removing",),
+    ),
+    "seller_segments": Query(
+        lambda m: segments.seller_segments(_ranked(m)).select(
+            "seller_id", "profits", "removal_rank", "profile"
+        ),
+        "SELECT seller_id, profits, removal_rank, profile FROM segments",
+        ("profits",),
+    ),
+    "seller_cohorts": Query(
+        lambda m: segments.seller_cohorts(_ranked(m)).select("seller_id", "cohort"),
+        "SELECT seller_id, cohort FROM cohorts",
+    ),
+    "segment_sizes": Query(
+        lambda m: segments.segment_sizes(segments.seller_segments(_ranked(m))),
+        "SELECT profile, count(*) AS n_sellers FROM segments GROUP BY profile",
+    ),
+    "behaviour_points": Query(
+        lambda m: segments.behaviour_points(sellers.seller_mart(m)),
+        """SELECT seller_id, share_of_one_stars, sales / n_orders AS sales_per_order, sales, profits,
+  coalesce(share_of_one_stars BETWEEN 0.0 AND 0.3 AND sales / n_orders BETWEEN 0.0 AND 500.0,
+           false) AS in_window
+FROM c10""",
+        ("share_of_one_stars", "sales_per_order", "sales", "profits"),
+    ),
+    "at_risk_sellers": Query(
+        lambda m: segments.at_risk_sellers(sellers.seller_mart(m)),
+        """SELECT seller_id, share_of_one_stars, wait_time, sales / n_orders AS sales_per_order, profits
+FROM c10 WHERE share_of_one_stars > 0.10 AND wait_time > 12.0 AND sales / n_orders < 200.0""",
+        ("share_of_one_stars", "wait_time", "sales_per_order", "profits"),
+    ),
+    "city_rollup": Query(
+        lambda m: segments.city_rollup(sellers.seller_mart(m)),
+        _select("e14"),
+        ("avg_delay_to_carrier", "avg_wait_time", "avg_active_months", "avg_review_score",
+         "total_profits", "total_sales", "lat", "lng"),
+    ),
+    # distributions per segment
+    "kde_active_months": Query(
+        lambda m: analysis.kde_active_months(segments.seller_cohorts(_ranked(m))),
+        *sql.kde_query("e8", "cohorts", "cohort", "active_months", 200, 3.0),
+    ),
+    "box_wait_time": Query(
+        lambda m: analysis.box_wait_time(segments.seller_segments(_ranked(m))),
+        sql.box_sql("segments", "profile", "wait_time"),
+        ("q1", "median", "q3", "whislo", "whishi"),
+    ),
+    "violin_sales_per_order": Query(
+        lambda m: analysis.violin_sales_per_order(segments.seller_segments(_ranked(m))),
+        *sql.violin_query("e10", "segments", "profile", "sales_per_order"),
+    ),
+    "mean_one_star": Query(
+        lambda m: analysis.mean_one_star(segments.seller_segments(_ranked(m))),
+        """SELECT profile, avg(share_of_one_stars) AS mean_share_of_one_stars,
+  count(share_of_one_stars) AS n_sellers FROM segments GROUP BY profile""",
+        ("mean_share_of_one_stars",),
+    ),
+    "mean_one_star_ci": Query(
+        lambda m: analysis.mean_one_star_ci(segments.seller_segments(_ranked(m))),
+        None,
+        ("mean", "ci_low", "ci_high"),
+    ),
+    "kde_by_dimension": Query(
+        lambda m: analysis.kde_by_dimension(orders.order_features(m), "wait_time", "review_score"),
+        *sql.kde_query("e17", "b7", "review_score", "wait_time", 200, 3.0),
+    ),
+    "significant_coefs": Query(
+        lambda m: analysis.significant_coefficients(
+            analysis.ols(orders.order_features(m), "review_score", list(OLS_FEATURES))
+        ),
+        None,
+        ("p_value", "coef"),
+    ),
 }
 
+# Order features regressed on the review score by ``significant_coefs``.
+OLS_FEATURES = (
+    "wait_time", "delay_vs_expected", "number_of_products", "number_of_sellers",
+    "price", "freight_value",
+)
+
+
+def _ranked(m: Marketplace) -> DataFrame:
+    return segments.ranked_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
+
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = QUERIES[name]
