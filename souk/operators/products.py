@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.expr import exact_sum, mean_days, micros_between
+from souk.functions.expr import mean_days, micros_between, micros_sums, resum
 from souk.operators.economics import DEFAULT_RATES, Rates
 from souk.operators.orders import is_delivered_col
 from souk.operators.reviews import order_review_stats, review_means
@@ -98,9 +98,10 @@ def wait_time(m: Marketplace) -> DataFrame:
         .join(counts, "order_id", "left")
     )
     w, wait = _review_weight(), F.col("wait_us")
-    return rows.groupBy("product_id").agg(
-        mean_days(exact_sum(w * wait), F.sum(F.when(wait.isNotNull(), w))).alias("wait_time")
+    sums = rows.groupBy("product_id").agg(
+        *micros_sums(w * wait, "wait"), F.sum(F.when(wait.isNotNull(), w)).alias("n_wait")
     )
+    return sums.select("product_id", mean_days("wait", F.col("n_wait")).alias("wait_time"))
 
 
 def _pair_reviews(m: Marketplace, rates: Rates) -> DataFrame:
@@ -175,7 +176,7 @@ def product_mart(
         F.sum("freight_value").alias("freight_sum"),
         F.count("freight_value").alias("n_freight"),
         F.count_if(delivered).alias("n_delivered"),
-        exact_sum(F.when(delivered, w * wait)).alias("wait_wsum"),
+        *micros_sums(F.when(delivered, w * wait), "wait"),
         F.sum(F.when(delivered & wait.isNotNull(), w)).alias("wait_w"),
         *[
             F.max(c).alias(c)
@@ -184,7 +185,8 @@ def product_mart(
         ],
     )
     per_product = per_pair.groupBy("product_id").agg(
-        mean_days(F.sum("wait_wsum"), F.sum("wait_w")).alias("wait_time"),
+        *resum("wait"),
+        F.sum("wait_w").alias("_wait_w"),
         _mean_price(F.sum("price_sum"), F.sum("n_priced")).alias("price"),
         *review_means(),
         F.sum("product_review_cost").alias("costs"),
@@ -199,6 +201,7 @@ def product_mart(
     )
     mart = (
         per_product.filter((F.col("_n_delivered") > 0) & (F.col("_n_reviews") > 0))
+        .withColumn("wait_time", mean_days("wait", F.col("_wait_w")))
         .withColumn("revenues", (F.col("_sales") * F.lit(rates.commission)).cast("double"))
         .withColumn("profits", F.col("revenues") - F.col("costs"))
         .withColumn("sales", F.col("_sales").cast("double"))

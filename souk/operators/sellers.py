@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import (
     active_months,
-    exact_sum,
     late_micros,
     mean_days,
     micros_between,
+    micros_sums,
+    resum,
 )
 from souk.operators.economics import DEFAULT_RATES, Rates
 from souk.operators.geo import LAT, LNG, first_point
@@ -56,9 +57,14 @@ def delay_wait(m: Marketplace, legacy: bool = False) -> DataFrame:
     wait = micros_between(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     )
-    return ship.groupBy("seller_id").agg(
-        mean_days(exact_sum(delay), F.count(delay)).alias("delay_to_carrier"),
-        mean_days(exact_sum(wait), F.count(wait)).alias("wait_time"),
+    sums = ship.groupBy("seller_id").agg(
+        *micros_sums(delay, "delay"), F.count(delay).alias("n_delay"),
+        *micros_sums(wait, "wait"), F.count(wait).alias("n_wait"),
+    )
+    return sums.select(
+        "seller_id",
+        mean_days("delay", F.col("n_delay")).alias("delay_to_carrier"),
+        mean_days("wait", F.col("n_wait")).alias("wait_time"),
     )
 
 
@@ -193,15 +199,13 @@ def profits(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     )
 
 
-def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
-    """Seller mart (20 columns, see ``SELLER_MART``), for sellers that have
-    a delivered item and at least one review.
+def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """Per seller with items: the sums behind every seller-mart feature.
 
-    One pass instead of nine joined marts: item rows are joined to their
-    order and to the order's review statistics (all keyed on order_id, one
-    shuffle per input), aggregated per (order, seller) on that same
-    partitioning, then per seller (one more shuffle, of partial
-    aggregates). Every seller feature is a ratio of sums of the pair rows.
+    Item rows are joined to their order and to the order's review
+    statistics (all keyed on order_id: with co-partitioned inputs no
+    shuffle), aggregated per (order, seller) on that same partitioning,
+    then per seller (one shuffle, of partial aggregates).
     """
     orders = m.orders.select(
         "order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
@@ -224,8 +228,8 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
         F.sum("price").alias("price_sum"),
         F.count_if(F.col("_dated")).alias("n_dated"),
         F.count_if(delivered).alias("n_delivered"),
-        exact_sum(F.when(delivered, delay)).alias("delay_sum"),
-        exact_sum(F.when(delivered, wait)).alias("wait_sum"),
+        *micros_sums(F.when(delivered, delay), "delay"),
+        *micros_sums(F.when(delivered, wait), "wait"),
         F.count(F.when(delivered, wait)).alias("n_wait"),
         F.min("order_approved_at").alias("first_approved"),
         F.max("order_approved_at").alias("last_approved"),
@@ -235,19 +239,37 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
                       "seller_review_cost")
         ],
     )
-    per_seller = per_pair.groupBy("seller_id").agg(
+    return per_pair.groupBy("seller_id").agg(
         F.count("order_id").alias("n_orders"),
         F.sum("n_items").alias("quantity"),
         F.coalesce(F.sum("price_sum"), F.lit(0)).alias("_sales"),
         F.sum("n_delivered").alias("_n_delivered"),
-        mean_days(F.sum("delay_sum"), F.sum("n_delivered")).alias("delay_to_carrier"),
-        mean_days(F.sum("wait_sum"), F.sum("n_wait")).alias("wait_time"),
+        *resum("delay"),
+        *resum("wait"),
+        F.sum("n_wait").alias("_n_wait"),
         F.min("first_approved").alias("date_first_sale"),
         F.max("last_approved").alias("date_last_sale"),
         F.sum("n_reviews").alias("_n_reviews"),
         *review_means(),
         F.sum("seller_review_cost").alias("_review_costs"),
     )
+
+
+def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """Seller mart (20 columns, see ``SELLER_MART``), for sellers that have
+    a delivered item and at least one review.
+
+    One pass instead of nine joined marts: item rows are joined to their
+    order and to the order's review statistics (all keyed on order_id, one
+    shuffle per input), aggregated per (order, seller) on that same
+    partitioning, then per seller (one more shuffle, of partial
+    aggregates). Every seller feature is a ratio of sums of the pair rows.
+    """
+    per_seller = seller_aggregates(m, rates)
+    # The per-seller table (one row per seller) feeds both the mart rows and
+    # the IT-cost denominator over all sellers; a checkpoint computes it once
+    # (otherwise each use re-reads the items) and cuts the lineage.
+    per_seller = per_seller.checkpoint(eager=True)
     it = it_costs(per_seller.select("seller_id", "n_orders"), rates)
     revenue = _commission(F.col("_sales"), rates) + F.lit(
         rates.subscription_per_month
@@ -258,6 +280,8 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
         .join(it, "seller_id")
         .withColumns(
             {
+                "delay_to_carrier": mean_days("delay", F.col("_n_delivered")),
+                "wait_time": mean_days("wait", F.col("_n_wait")),
                 "active_months": active_months(
                     F.col("date_first_sale"), F.col("date_last_sale")
                 ),

@@ -239,11 +239,26 @@ def _ranked(m: Marketplace) -> DataFrame:
     return segments.ranked_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
 
 
+_CATALOGS: dict[tuple[int, str], Marketplace] = {}
+
+
+def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
+    """The lazy marketplace view of ``sf_dir``, built once per session.
+
+    Only plans are kept (no data): repeated queries skip re-reading the
+    parquet footers and re-analysing the source projections.
+    """
+    key = (id(spark), sf_dir)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = load_star_marketplace(spark, sf_dir)
+    return _CATALOGS[key]
+
+
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = QUERIES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return canonical(q.run(load_star_marketplace(spark, sf_dir)))
+        return canonical(q.run(marketplace(spark, sf_dir)))
 
     run.__name__ = name
     return run
