@@ -116,6 +116,27 @@ WHERE COLUMNS(*) IS NOT NULL""",
         ("delay_to_carrier", "wait_time", "share_of_five_stars", "share_of_one_stars",
          "review_score", "quantity_per_order", "sales"),
     ),
+    "seller_features_legacy": Query(
+        lambda m: sellers.seller_features(m, legacy=True),
+        "SELECT seller_id, seller_city, seller_state FROM m_sellers",
+    ),
+    "seller_delay_wait_legacy": Query(
+        lambda m: sellers.delay_wait(m, legacy=True), _select("l8"),
+        ("delay_to_carrier", "wait_time"),
+    ),
+    "seller_active_dates_legacy": Query(
+        lambda m: sellers.active_dates(m, legacy=True), _select("l9")
+    ),
+    "seller_review_scores_legacy": Query(
+        sellers.legacy_review_scores, _select("l10"), REVIEW_MEANS
+    ),
+    "seller_quantity_legacy": Query(
+        lambda m: sellers.quantity_sales(m, legacy=True).select(
+            "seller_id", "n_orders", "quantity", "quantity_per_order"
+        ),
+        _select("l11"),
+        ("quantity_per_order",),
+    ),
     # product mart
     "product_features": Query(products.product_features, _select("d1")),
     "product_price": Query(products.price, _select("d2"), ("price",)),
@@ -127,10 +148,22 @@ WHERE COLUMNS(*) IS NOT NULL""",
     "product_quantity": Query(products.quantity, _select("d8")),
     "product_sales": Query(products.sales, _select("d9"), ("sales",)),
     "product_mart": Query(products.product_mart, _select("d10"), PRODUCT_MART_DOUBLES),
+    "product_mart_with_freight": Query(
+        lambda m: products.product_mart(m, with_freight=True),
+        """SELECT d10.*, freight_value FROM d10 JOIN (
+  SELECT product_id, CAST(sum(freight_value) AS DOUBLE) / count(freight_value) AS freight_value
+  FROM m_items WHERE product_id IS NOT NULL GROUP BY product_id) USING (product_id)""",
+        PRODUCT_MART_DOUBLES + ("freight_value",),
+    ),
     # reviews
     "review_length": Query(reviews.review_length, _select("h1")),
     "review_main_category": Query(reviews.main_product_category, _select("h2")),
     "review_features": Query(reviews.review_features, _select("h3")),
+    "review_score_quality": Query(
+        reviews.bad_scores,
+        """SELECT review_score, count(*) AS n_reviews FROM m_reviews
+WHERE review_score IS NOT NULL AND review_score NOT BETWEEN 1 AND 5 GROUP BY review_score""",
+    ),
     # ranking, what-if and segments over the seller mart
     "seller_ranked": Query(
         lambda m: segments.seller_ranking(_ranked(m)),

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analytics this library rebuilds are batch feature marts, unit
+economics and segment summaries over complete tables; none of them is
+defined over an unbounded stream (no windows, watermarks or state), so no
+streaming operator is offered. Every operator is a pure function of lazy
+DataFrames, so a caller can apply one inside ``foreachBatch`` of their own
+stream if they need periodic refreshes.
+"""
