@@ -41,7 +41,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, driver_memory="16g")
+    extra = json.loads(os.environ.get("BENCH_CONF", "{}"))
+    spark = build_session(
+        f"local[{cpus}]", shuffle_partitions=cpus, driver_memory="16g", extra=extra
+    )
     for name in names:  # warm-up: JIT, file listing, codegen caches
         run(spark, name, sf_dir)
     times = {name: round(run(spark, name, sf_dir), 3) for name in names}

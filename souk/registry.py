@@ -272,7 +272,7 @@ def _ranked(m: Marketplace) -> DataFrame:
     return segments.ranked_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
 
 
-_CATALOGS: dict[tuple[int, str], Marketplace] = {}
+_CATALOGS: dict[tuple[SparkSession, str], Marketplace] = {}
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
@@ -281,7 +281,7 @@ def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     Only plans are kept (no data): repeated queries skip re-reading the
     parquet footers and re-analysing the source projections.
     """
-    key = (id(spark), sf_dir)
+    key = (spark, sf_dir)
     if key not in _CATALOGS:
         _CATALOGS[key] = load_star_marketplace(spark, sf_dir)
     return _CATALOGS[key]

@@ -3,7 +3,7 @@
 The driver tables carry no reviews, delivery dates or coordinates, so the
 marketplace columns are derived deterministically from keys and dates
 (FIXTURES.md, part 2). Every table stays a lazy projection of one scan:
-only ``order_items`` needs a join (the order date of its order), and the
+only ``order_items`` looks up another table (the date of its order), and the
 ``nation``/``region`` dimensions have a fixed size (25 and 5 rows), so they
 are broadcast.
 
@@ -73,11 +73,20 @@ def star_orders(raw: DataFrame) -> DataFrame:
 
 
 def star_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    dated = lineitem.join(
-        orders.select("o_orderkey", "o_orderdate"),
-        lineitem.l_orderkey == orders.o_orderkey,
-        "left",
+    """Items; the shipping limit needs the date of the item's order.
+
+    The date is a correlated scalar subquery (the one order with the item's
+    key), not a left join: Spark plans it as a single-match join, and drops
+    it altogether when a query does not use ``shipping_limit_date`` (a left
+    join could never be dropped, since the optimizer cannot know that
+    ``orders`` holds one row per key).
+    """
+    order_date = (
+        orders.where(F.col("o_orderkey") == F.col("l_orderkey").outer())
+        .select("o_orderdate")
+        .scalar()
     )
+    dated = lineitem.withColumn("o_orderdate", order_date)
     line = F.col("l_linenumber")
     price = F.floor("l_extendedprice").cast("bigint") * F.lit(Decimal("0.007")).cast(
         "decimal(4,3)"
