@@ -58,9 +58,18 @@ def normalise(df: pd.DataFrame) -> pd.DataFrame:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain", action="store_true",
+                    help="default session settings (as an outside caller would have)")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
-    spark = build_session("local[8]", 8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session("local[8]", 8)
     con = duck(args.sf)
     names = args.names or list(QUERIES)
     bad = 0
