@@ -42,13 +42,22 @@ def box_wait_time(segments: DataFrame) -> DataFrame:
 
 def violin_sales_per_order(segments: DataFrame) -> DataFrame:
     """Violin data of sales per order per profile: density on a 100-point
-    grid and the quartiles drawn inside."""
-    dens = kde(segments, ["profile"], "sales_per_order", VIOLIN_GRID, VIOLIN_CUT)
+    grid and the quartiles drawn inside. A profile whose values are all
+    equal has no spread: it is drawn as one point of density 1."""
+    value = "sales_per_order"
+    dens = kde(segments, ["profile"], value, VIOLIN_GRID, VIOLIN_CUT)
+    flat = (
+        segments.filter(F.col(value).isNotNull() & F.col("profile").isNotNull())
+        .groupBy("profile")
+        .agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        .filter(F.col("_lo") == F.col("_hi"))
+        .select("profile", F.lit(0).alias("point"), F.col("_lo").alias("x"),
+                F.lit(1.0).alias("density"))
+    )
     quart = grouped_quantiles(
-        segments, ["profile"], "sales_per_order",
-        {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["seller_id"],
+        segments, ["profile"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["seller_id"],
     )
-    return dens.join(quart, "profile", "left")
+    return dens.unionByName(flat).join(quart, "profile", "left")
 
 
 def mean_one_star(segments: DataFrame) -> DataFrame:

@@ -66,18 +66,18 @@ def ranked_sellers(mart: DataFrame, cutoffs: Cutoffs = ABSOLUTE_CUTOFFS) -> Data
     * removed_before: total profit of the sellers removed before it;
     * n_sellers, total_profits and the cut-offs k_worst/k_bad/k_neutral.
 
-    Positions come from the distributed ranking plan; N and the total are a
-    one-row aggregate broadcast to every row.
+    Positions come from the distributed ranking plan; N and the total are
+    scalar subqueries, computed once.
     """
     base = with_sales_per_order(mart)
     pos = ordered(base, removal_order(), "removal_rank", running_of="profits",
                   running="removed_before")
-    totals = pos.agg(
-        F.count(F.lit(1)).alias("n_sellers"), F.sum("profits").alias("total_profits")
-    )
-    totals = totals.withColumns(cutoffs.scaled(F.col("n_sellers")))
-    return pos.crossJoin(F.broadcast(totals)).withColumn(
-        "profit_rank", F.col("n_sellers") + 1 - F.col("removal_rank")
+    n = pos.agg(F.count(F.lit(1))).scalar()
+    total = pos.agg(F.sum("profits")).scalar()
+    return (
+        pos.withColumns({"n_sellers": n, "total_profits": total})
+        .withColumns(cutoffs.scaled(F.col("n_sellers")))
+        .withColumn("profit_rank", F.col("n_sellers") + 1 - F.col("removal_rank"))
     )
 
 

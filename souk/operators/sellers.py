@@ -169,12 +169,13 @@ def revenues(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
 
 def it_costs(n_orders: DataFrame, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """IT cost per seller: the IT total shared in proportion to
-    sqrt(n_orders). The denominator is a one-row aggregate broadcast to
-    every row (never a global window, which would run on one partition)."""
-    total = n_orders.agg(F.sum(F.sqrt("n_orders")).alias("_sqrt_total"))
-    return n_orders.crossJoin(F.broadcast(total)).select(
+    sqrt(n_orders). The denominator is a scalar subquery over all sellers,
+    computed once (never a global window, which would run on one
+    partition)."""
+    total = n_orders.agg(F.sum(F.sqrt("n_orders"))).scalar()
+    return n_orders.select(
         "seller_id",
-        (F.sqrt("n_orders") * (F.lit(rates.it_total) / F.col("_sqrt_total"))).alias("it_costs"),
+        (F.sqrt("n_orders") * (F.lit(rates.it_total) / total)).alias("it_costs"),
     )
 
 

@@ -408,7 +408,11 @@ def kde_query(prefix: str, src: str, group: str, value: str, gridsize: int, cut:
 
 def violin_query(prefix: str, src: str, group: str, value: str):
     ctes, select = kde_sql(prefix, src, group, value, 100, 2.0)
-    ctes[f"{prefix}_k"] = select
+    ctes[f"{prefix}_k"] = select + f"""
+UNION ALL
+SELECT {group}, CAST(0 AS INTEGER) AS point, min({value}) AS x, 1.0 AS density FROM {src}
+WHERE {value} IS NOT NULL AND {group} IS NOT NULL GROUP BY {group}
+HAVING min({value}) = max({value})"""
     ctes[f"{prefix}_q"] = quartiles_sql(src, group, value)
     OPERATOR_CTES.update(ctes)
     return (

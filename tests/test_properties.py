@@ -131,3 +131,14 @@ def test_bootstrap_interval_contains_mean(m):
     for r in rows(analysis.mean_one_star_ci(seg)):
         if r["n"] > 1:
             assert r["ci_low"] <= r["mean"] <= r["ci_high"]
+
+
+def test_violin_of_a_single_value_is_one_point(spark):
+    df = spark.createDataFrame(
+        [("Worst", "a", 5.0), ("Worst", "b", 5.0), ("Good", "c", 1.0), ("Good", "d", 3.0)],
+        "profile string, seller_id string, sales_per_order double",
+    )
+    got = rows(analysis.violin_sales_per_order(df))
+    worst = [r for r in got if r["profile"] == "Worst"]
+    assert [(r["x"], r["density"], r["median"]) for r in worst] == [(5.0, 1.0, 5.0)]
+    assert len([r for r in got if r["profile"] == "Good"]) == 100
