@@ -75,18 +75,14 @@ def star_orders(raw: DataFrame) -> DataFrame:
 def star_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Items; the shipping limit needs the date of the item's order.
 
-    The date is a correlated scalar subquery (the one order with the item's
-    key), not a left join: Spark plans it as a single-match join, and drops
-    it altogether when a query does not use ``shipping_limit_date`` (a left
-    join could never be dropped, since the optimizer cannot know that
-    ``orders`` holds one row per key).
+    The lookup is a left join to one row per order key (an aggregate on
+    the key, so the optimizer knows the key is unique): it stays a plain
+    equi-join (sort-merge at scale, its item side splittable by AQE when a
+    key is hot), and the optimizer removes it altogether from every query
+    that does not use ``shipping_limit_date``.
     """
-    order_date = (
-        orders.where(F.col("o_orderkey") == F.col("l_orderkey").outer())
-        .select("o_orderdate")
-        .scalar()
-    )
-    dated = lineitem.withColumn("o_orderdate", order_date)
+    dates = orders.groupBy("o_orderkey").agg(F.min("o_orderdate").alias("o_orderdate"))
+    dated = lineitem.join(dates, lineitem.l_orderkey == dates.o_orderkey, "left")
     line = F.col("l_linenumber")
     price = F.floor("l_extendedprice").cast("bigint") * F.lit(Decimal("0.007")).cast(
         "decimal(4,3)"
