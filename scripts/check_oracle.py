@@ -60,6 +60,8 @@ def main() -> int:
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--plain", action="store_true",
                     help="default session settings (as an outside caller would have)")
+    ap.add_argument("--hot-key-rows", type=int, default=None,
+                    help="split keys above this many rows (exercise the salted joins)")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     if args.plain:
@@ -70,6 +72,10 @@ def main() -> int:
         spark.sparkContext.setLogLevel("ERROR")
     else:
         spark = build_session("local[8]", 8)
+    if args.hot_key_rows:
+        from souk.plans.skew import HOT_KEY_ROWS
+
+        spark.conf.set(HOT_KEY_ROWS, str(args.hot_key_rows))
     con = duck(args.sf)
     names = args.names or list(QUERIES)
     bad = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk.plans.skew import salted_join
 from souk.sources.catalog import GEO_ORDER
 
 LAT, LNG = "geolocation_lat", "geolocation_lng"
@@ -32,8 +33,10 @@ def first_point(geolocation: DataFrame, key: str, order: str = GEO_ORDER) -> Dat
 def locate(
     entities: DataFrame, zip_col: str, geolocation: DataFrame
 ) -> DataFrame:
-    """``entities`` left-joined to the first point of their zip code."""
-    points = first_point(geolocation, "geolocation_zip_code_prefix")
-    return entities.join(
-        points, entities[zip_col] == points.geolocation_zip_code_prefix, "left"
-    ).drop("geolocation_zip_code_prefix")
+    """``entities`` left-joined to the first point of their zip code (a zip
+    holding a large share of the entities is split over several tasks)."""
+    points = first_point(geolocation, "geolocation_zip_code_prefix").withColumnRenamed(
+        "geolocation_zip_code_prefix", zip_col
+    )
+    spread = [c for c in entities.columns if c != zip_col]
+    return salted_join(entities, points, zip_col, "left", spread_by=spread, other_unique=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
 
 LINK_COLUMNS = ("customer_id", "order_id", "review_id", "product_id", "seller_id")
@@ -19,24 +20,30 @@ def link_table(m: Marketplace, legacy_order: bool = False) -> DataFrame:
     any of the three tables, so an order fans out to
     max(reviews, 1) * max(items, 1) rows.
 
-    The full outer join is written as a left join plus an anti join so that
-    the large, possibly skewed side (items) always sits on the streamed side
-    of a join AQE can split: a full outer sort-merge join cannot be split
-    for a skewed key, a left outer or left anti one can.
+    A full outer sort-merge join sends all rows of an order to one task.
+    It is written as a left join plus an anti join: the many-rows side
+    (reviews, then items) is the preserved side of a salted left join, so
+    an order holding a large share of the rows is split over several tasks,
+    and the anti joins only test the distinct order ids of that side.
     """
     orders = m.orders.select("order_id", "customer_id")
     reviews = m.order_reviews.select("order_id", "review_id")
     items = m.order_items.select("order_id", "product_id", "seller_id")
 
+    def ids(df: DataFrame) -> DataFrame:
+        return df.select("order_id").distinct()
+
     # orders FULL JOIN reviews, as reviews LEFT JOIN orders + orders without reviews
-    head = reviews.join(orders, "order_id", "left").unionByName(
-        orders.join(reviews, "order_id", "left_anti").withColumn(
+    head = salted_join(reviews, orders, "order_id", "left", spread_by=["review_id"]).unionByName(
+        orders.join(ids(reviews), "order_id", "left_anti").withColumn(
             "review_id", F.lit(None).cast(reviews.schema["review_id"].dataType)
         )
     )
     # (...) FULL JOIN items, as items LEFT JOIN head + head rows without items
-    no_items = head.join(items, "order_id", "left_anti")
-    link = items.join(head, "order_id", "left").unionByName(
+    no_items = head.join(ids(items), "order_id", "left_anti")
+    link = salted_join(
+        items, head, "order_id", "left", spread_by=["product_id", "seller_id"]
+    ).unionByName(
         no_items.withColumns(
             {
                 "product_id": F.lit(None).cast(items.schema["product_id"].dataType),

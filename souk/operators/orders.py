@@ -15,6 +15,7 @@ from souk.functions.expr import (
     score_flag,
 )
 from souk.operators.geo import LAT, LNG, locate
+from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
 
 DELIVERED = "delivered"
@@ -120,20 +121,24 @@ def seller_customer_distance(m: Marketplace) -> DataFrame:
         ["customer_id", "customer_zip_code_prefix", "customer_city", "customer_state", LAT, LNG],
     ).select("customer_id", F.col(LAT).alias("lat_c"), F.col(LNG).alias("lng_c"))
 
-    reviewed = m.order_reviews.filter(F.col("review_id").isNotNull()).select("order_id")
+    reviewed = (
+        m.order_reviews.filter(F.col("review_id").isNotNull()).select("order_id").distinct()
+    )
     orders = (
         m.orders.select("order_id", "customer_id")
         .join(reviewed, "order_id", "left_semi")
         .join(customers, "customer_id")
     )
-    items = (
-        m.order_items.filter(F.col("product_id").isNotNull())
-        .select("order_id", "seller_id")
-        .join(sellers, "seller_id")
+    items = salted_join(
+        m.order_items.filter(F.col("product_id").isNotNull()).select(
+            "order_id", "seller_id", "order_item_id", "product_id"
+        ),
+        sellers, "seller_id", spread_by=["order_id", "order_item_id", "product_id"],
     )
     dist = haversine_km(F.col("lng_s"), F.col("lat_s"), F.col("lng_c"), F.col("lat_c"))
     return (
-        items.join(orders, "order_id")
+        salted_join(items, orders, "order_id",
+                    spread_by=["seller_id", "order_item_id", "product_id"])
         .groupBy("order_id")
         .agg(F.avg(dist).alias("distance_seller_customer"))
     )
@@ -147,18 +152,25 @@ def order_features(
 ) -> DataFrame:
     """Order mart, one row per (order, review), rows with any NULL dropped.
 
-    All inputs are keyed on order_id, so the joins share one partitioning
-    and each input is shuffled once. ``legacy`` combines the superseded wait
-    time and product count (both arguments are then ignored, as before).
+    Review rows are joined to one per-order row (wait times and basket,
+    both keyed on order_id); an order with very many reviews is split over
+    several tasks. ``legacy`` combines the superseded wait time and product
+    count (both arguments are then ignored, as before).
     """
     if legacy:
         is_delivered, with_distance = True, False
     cols = list(ORDER_FEATURES)
-    mart = (
-        wait_time(m, is_delivered, legacy=legacy)
-        .join(review_flags(m), "order_id")
-        .join(basket(m, legacy=legacy), "order_id")
+    per_order = wait_time(m, is_delivered, legacy=legacy).join(
+        basket(m, legacy=legacy), "order_id"
+    )
+    score = F.col("review_score")
+    reviews = m.order_reviews.select(
+        "order_id", "review_id",
+        score_flag(score, 5).alias("dim_is_five_star"),
+        score_flag(score, 1).alias("dim_is_one_star"),
+        score,
     )
+    mart = salted_join(reviews, per_order, "order_id", spread_by=["review_id", "review_score"])
     if with_distance:
         mart = mart.join(seller_customer_distance(m), "order_id")
         cols.append("distance_seller_customer")

@@ -9,6 +9,7 @@ from souk.functions.expr import mean_days, micros_between, micros_sums, resum
 from souk.operators.economics import DEFAULT_RATES, Rates
 from souk.operators.orders import is_delivered_col
 from souk.operators.reviews import order_review_stats, review_means
+from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
 
 PRODUCT_FEATURES = (
@@ -91,11 +92,10 @@ def wait_time(m: Marketplace) -> DataFrame:
             F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
         ).alias("wait_us"),
     )
-    rows = (
-        _product_items(m)
-        .select("order_id", "product_id")
-        .join(delivered, "order_id")
-        .join(counts, "order_id", "left")
+    per_order = delivered.join(counts, "order_id", "left")
+    rows = salted_join(
+        _product_items(m).select("order_id", "product_id", "order_item_id", "seller_id"),
+        per_order, "order_id", spread_by=["product_id", "order_item_id", "seller_id"],
     )
     w, wait = _review_weight(), F.col("wait_us")
     sums = rows.groupBy("product_id").agg(
@@ -110,7 +110,7 @@ def _pair_reviews(m: Marketplace, rates: Rates) -> DataFrame:
         .select("order_id", "product_id")
         .distinct()
     )
-    return pairs.join(order_review_stats(m, rates), "order_id")
+    return salted_join(pairs, order_review_stats(m, rates), "order_id", spread_by=["product_id"])
 
 
 def review_scores(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
@@ -149,20 +149,22 @@ def product_mart(
     """Product mart (20 columns, see ``PRODUCT_MART``) for translated
     products with a delivered item and at least one review.
 
-    Same one-pass shape as the seller mart: items joined to their order and
-    the order's review statistics on order_id, aggregated per (order,
-    product) on that partitioning, then per product. ``with_freight`` adds
-    the mean freight value per item row.
+    Same one-pass shape as the seller mart: items joined to one per-order
+    row (order and review statistics, hot orders split), aggregated per
+    (order, product), then per product. ``with_freight`` adds the mean
+    freight value per item row.
     """
     orders = m.orders.select(
         "order_id", "order_status", "order_purchase_timestamp",
         "order_delivered_customer_date",
     )
-    rows = (
-        _product_items(m)
-        .select("order_id", "product_id", "price", "freight_value")
-        .join(orders, "order_id", "left")
-        .join(order_review_stats(m, rates), "order_id", "left")
+    per_order = orders.join(order_review_stats(m, rates), "order_id", "full")
+    items = _product_items(m).select(
+        "order_id", "product_id", "price", "freight_value", "order_item_id", "seller_id"
+    )
+    rows = salted_join(
+        items, per_order, "order_id", "left",
+        spread_by=["product_id", "order_item_id", "seller_id"],
     )
     delivered = F.coalesce(is_delivered_col(), F.lit(False))
     wait = micros_between(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import review_cost, score_flag
 from souk.operators.economics import DEFAULT_RATES, Rates
+from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
 
 
@@ -78,12 +79,12 @@ def main_product_category(m: Marketplace) -> DataFrame:
     Two partial aggregates: (order, category) counts, then one row per order
     picked with ``min_by`` on a (-count, -price, name) key.
     """
-    items = m.order_items.select("order_id", "product_id", "price")
+    items = m.order_items.select("order_id", "product_id", "price", "order_item_id", "seller_id")
     cats = m.products.select("product_id", "product_category_name").filter(
         F.col("product_category_name").isNotNull()
     )
     per_cat = (
-        items.join(cats, "product_id")
+        salted_join(items, cats, "product_id", spread_by=["order_id", "order_item_id", "seller_id"])
         .groupBy("order_id", "product_category_name")
         .agg(
             F.count(F.lit(1)).alias("n_items"),
@@ -106,6 +107,7 @@ def review_features(m: Marketplace) -> DataFrame:
             "review_comment_length"
         ),
     )
-    return lengths.join(main_product_category(m), "order_id", "left").select(
-        "review_id", "order_id", "review_comment_length", "product_category"
-    )
+    return salted_join(
+        lengths, main_product_category(m), "order_id", "left",
+        spread_by=["review_id"], other_unique=True,
+    ).select("review_id", "order_id", "review_comment_length", "product_category")

@@ -17,6 +17,7 @@ from souk.operators.economics import DEFAULT_RATES, Rates
 from souk.operators.geo import LAT, LNG, first_point
 from souk.operators.orders import is_delivered_col, order_features
 from souk.operators.reviews import order_review_stats, review_means
+from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
 
 SELLER_MART = (
@@ -28,6 +29,10 @@ SELLER_MART = (
 )
 
 
+# Columns that tell the items of one order apart (to split a hot order).
+ITEM_SPREAD = ["seller_id", "order_item_id", "product_id"]
+
+
 def _seller_items(m: Marketplace) -> DataFrame:
     return m.order_items.filter(F.col("seller_id").isNotNull())
 
@@ -38,10 +43,12 @@ def seller_features(m: Marketplace, legacy: bool = False) -> DataFrame:
     superseded form, seller rows as they are without any location."""
     if legacy:
         return m.sellers.select("seller_id", "seller_city", "seller_state")
-    points = first_point(m.geolocation, "geolocation_city")
-    sellers = m.sellers.dropDuplicates()
-    return sellers.join(
-        points, sellers.seller_city == points.geolocation_city, "left"
+    points = first_point(m.geolocation, "geolocation_city").withColumnRenamed(
+        "geolocation_city", "seller_city"
+    )
+    return salted_join(
+        m.sellers.dropDuplicates(), points, "seller_city", "left",
+        spread_by=["seller_id", "seller_state"], other_unique=True,
     ).select("seller_id", "seller_city", "seller_state", LAT, LNG)
 
 
@@ -52,7 +59,7 @@ def delay_wait(m: Marketplace, legacy: bool = False) -> DataFrame:
     orders = m.orders
     if not legacy:
         orders = orders.filter(is_delivered_col())
-    ship = _seller_items(m).join(orders, "order_id")
+    ship = salted_join(_seller_items(m), orders, "order_id", spread_by=ITEM_SPREAD)
     delay = late_micros(F.col("shipping_limit_date"), F.col("order_delivered_carrier_date"))
     wait = micros_between(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
@@ -76,9 +83,10 @@ def active_dates(m: Marketplace, legacy: bool = False) -> DataFrame:
     """
     when = "order_purchase_timestamp" if legacy else "order_approved_at"
     dated = (
-        _seller_items(m)
-        .select("order_id", "seller_id")
-        .join(m.orders.select("order_id", when), "order_id")
+        salted_join(
+            _seller_items(m).select("order_id", *ITEM_SPREAD),
+            m.orders.select("order_id", when), "order_id", spread_by=ITEM_SPREAD,
+        )
         .groupBy("seller_id")
         .agg(F.min(when).alias("date_first_sale"), F.max(when).alias("date_last_sale"))
     )
@@ -101,7 +109,8 @@ def _pairs(m: Marketplace, entity: str) -> DataFrame:
 def _pair_reviews(m: Marketplace, entity: str, rates: Rates) -> DataFrame:
     """(order, entity) pairs with the review statistics of their order;
     pairs of orders without reviews are dropped."""
-    return _pairs(m, entity).join(order_review_stats(m, rates), "order_id")
+    return salted_join(_pairs(m, entity), order_review_stats(m, rates), "order_id",
+                       spread_by=[entity])
 
 
 def review_scores(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
@@ -203,21 +212,23 @@ def profits(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
 def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """Per seller with items: the sums behind every seller-mart feature.
 
-    Item rows are joined to their order and to the order's review
-    statistics (all keyed on order_id: with co-partitioned inputs no
-    shuffle), aggregated per (order, seller) on that same partitioning,
-    then per seller (one shuffle, of partial aggregates).
+    Item rows are joined to one per-order row (the order and its review
+    statistics; an order holding a large share of the items is split over
+    several tasks), aggregated per (order, seller) and then per seller,
+    each aggregate partial on the map side first.
     """
     orders = m.orders.select(
         "order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
         "order_delivered_carrier_date", "order_delivered_customer_date",
         F.lit(True).alias("_dated"),
     )
-    rows = (
-        _seller_items(m)
-        .select("order_id", "seller_id", "price", "shipping_limit_date")
-        .join(orders, "order_id", "left")
-        .join(order_review_stats(m, rates), "order_id", "left")
+    per_order = orders.join(order_review_stats(m, rates), "order_id", "full")
+    items = _seller_items(m).select(
+        "order_id", "seller_id", "price", "shipping_limit_date", "order_item_id", "product_id"
+    )
+    rows = salted_join(
+        items, per_order, "order_id", "left",
+        spread_by=ITEM_SPREAD,
     )
     delivered = F.coalesce(F.col("_dated") & is_delivered_col(), F.lit(False))
     wait = micros_between(
@@ -304,8 +315,9 @@ def legacy_review_scores(m: Marketplace) -> DataFrame:
     stars = order_features(m).select(
         "order_id", "dim_is_five_star", "dim_is_one_star", "review_score"
     )
+    items = _seller_items(m).select("order_id", *ITEM_SPREAD)
     return (
-        stars.join(_seller_items(m).select("order_id", "seller_id"), "order_id")
+        salted_join(items, stars, "order_id", spread_by=ITEM_SPREAD)
         .groupBy("seller_id")
         .agg(
             F.avg("dim_is_five_star").alias("share_of_five_stars"),

@@ -7,13 +7,10 @@ only ``order_items`` looks up another table (the date of its order), and the
 ``nation``/``region`` dimensions have a fixed size (25 and 5 rows), so they
 are broadcast.
 
-Co-partitioning: ``lineitem`` and ``orders`` are hash-partitioned on the
-order key into ``spark.sql.shuffle.partitions`` partitions, as if both
-tables were bucketed by order id. Items, orders and the reviews derived
-from orders then share one partitioning: every later join or aggregate on
-``order_id`` (the marts, review statistics, link table) runs without
-another shuffle of these tables, and the work after the scan is spread
-over all partitions however few files the tables have.
+A scan with fewer splits than shuffle partitions (the driver writes one
+row group per table) is spread round robin so that every step before the
+first shuffle still runs on all cores; tables made of many files are read
+as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +20,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.plans.skew import salted_join, spread_small_input
 from souk.sources.catalog import GEO_ORDER, Marketplace
 from souk.sources.schemas import MONEY
 
@@ -76,13 +74,18 @@ def star_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Items; the shipping limit needs the date of the item's order.
 
     The lookup is a left join to one row per order key (an aggregate on
-    the key, so the optimizer knows the key is unique): it stays a plain
-    equi-join (sort-merge at scale, its item side splittable by AQE when a
-    key is hot), and the optimizer removes it altogether from every query
-    that does not use ``shipping_limit_date``.
+    the key, so the optimizer knows the key is unique): the optimizer
+    removes it altogether from every query that does not use
+    ``shipping_limit_date``. Where it is used, an order holding a large
+    share of all items is split over several tasks (``salted_join``).
     """
-    dates = orders.groupBy("o_orderkey").agg(F.min("o_orderdate").alias("o_orderdate"))
-    dated = lineitem.join(dates, lineitem.l_orderkey == dates.o_orderkey, "left")
+    dates = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(
+        F.min("o_orderdate").alias("o_orderdate")
+    )
+    dated = salted_join(
+        lineitem, dates, "l_orderkey", "left",
+        spread_by=["l_linenumber", "l_partkey", "l_suppkey"], other_unique=True,
+    )
     line = F.col("l_linenumber")
     price = F.floor("l_extendedprice").cast("bigint") * F.lit(Decimal("0.007")).cast(
         "decimal(4,3)"
@@ -189,21 +192,11 @@ def star_translation(part: DataFrame) -> DataFrame:
     )
 
 
-def _by_order(df: DataFrame, key: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
-
-
-def load_star_marketplace(
-    spark: SparkSession, sf_dir: str, co_partition: bool = True
-) -> Marketplace:
+def load_star_marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     """Marketplace over ``{sf_dir}/{table}.parquet`` (lazy; nothing runs)."""
     places = _places(spark, sf_dir)
-    orders = _read(spark, sf_dir, "orders")
-    lineitem = _read(spark, sf_dir, "lineitem")
-    if co_partition:
-        orders = _by_order(orders, "o_orderkey")
-        lineitem = _by_order(lineitem, "l_orderkey")
+    orders = spread_small_input(_read(spark, sf_dir, "orders"))
+    lineitem = spread_small_input(_read(spark, sf_dir, "lineitem"))
     part = _read(spark, sf_dir, "part")
     return Marketplace(
         orders=star_orders(orders),

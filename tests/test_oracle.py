@@ -65,9 +65,17 @@ def skewed(tmp_path_factory):
     return str(d)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 200])
 @pytest.mark.parametrize("name", SKEW_CHECKED)
-def test_matches_duckdb_on_skewed_keys(spark, skewed, name):
-    got = spark_query(name)(spark, skewed).toPandas()
+def test_matches_duckdb_on_skewed_keys(spark, skewed, name, hot_rows):
+    from souk.plans.skew import DEFAULT_HOT_KEY_ROWS, HOT_KEY_ROWS
+
+    # 200 rows: the hot seller and the hot order are split into pieces
+    spark.conf.set(HOT_KEY_ROWS, str(hot_rows or DEFAULT_HOT_KEY_ROWS))
+    try:
+        got = spark_query(name)(spark, skewed).toPandas()
+    finally:
+        spark.conf.set(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS))
     want = duck(skewed).sql(oracle_sql(name)).df()
     assert len(got) == len(want)
     assert normalise(got).astype(str).equals(normalise(want).astype(str))

@@ -46,12 +46,23 @@ def test_ranking_funnels_only_aggregates_into_one_partition(spark):
         assert "HashAggregate" in lines[i + 1], lines[i + 1]
 
 
-def test_order_keyed_inputs_shuffled_once(spark):
+def test_unused_order_date_lookup_is_dropped(spark):
     m = marketplace(spark, SF_SMALL)
-    text = plan(sellers.seller_aggregates(m))
-    lineitem_shuffles = [
-        line for line in text.splitlines()
-        if "Exchange hashpartitioning(l_orderkey" in line
-    ]
-    assert len(lineitem_shuffles) == 1
-    assert "hashpartitioning(order_id" not in text
+    text = m.order_items.select("order_id", "seller_id", "price")._jdf.queryExecution(
+    ).optimizedPlan().toString()
+    assert "Join" not in text and "xxhash" not in text
+
+
+def test_no_nested_loop_join_without_broadcasts(spark):
+    from souk.sources.star import load_star_marketplace
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = load_star_marketplace(spark, SF_SMALL)
+        from souk.operators import link, orders
+
+        for df in (sellers.seller_aggregates(m), orders.order_features(m, with_distance=True),
+                   link.link_table(m)):
+            assert "NestedLoop" not in plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
