@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import sqrt2pi
 from souk.plans.ranking import grouped_positions
+from souk.plans.skew import salted_join
 
 
 def _present(df: DataFrame, group_cols: list[str], value: str, extra: list[str]) -> DataFrame:
@@ -89,9 +90,9 @@ def box_stats(
         {"_lo_lim": F.col("q1") - whis * iqr, "_hi_lim": F.col("q3") + whis * iqr}
     )
     x = F.col(value)
+    vals = _present(df, group_cols, value, tiebreak)
     agg = (
-        _present(df, group_cols, value, [])
-        .join(limits, group_cols)
+        salted_join(vals, limits, group_cols, spread_by=[value, *tiebreak], other_unique=True)
         .groupBy(*group_cols, "q1", "median", "q3")
         .agg(
             F.count(x).alias("n"),
@@ -160,8 +161,9 @@ def kde(
     )
     counts = vals.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_c"))
     z = (F.col("x") - F.col(value)) / F.col("_bw")
+    # a group with very many distinct values is split; its grid is copied
     return (
-        grid.join(counts, group_cols)
+        salted_join(counts, grid, group_cols, spread_by=[value])
         .groupBy(*group_cols, "point", "x", "_n", "_bw")
         .agg(F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_k"))
         .select(

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.plans.skew import salted_join
 from souk.session import ensure_checkpoint_dir
 
 _ROW, _PART, _BEFORE_N, _BEFORE_S, _IN_PART = "_row", "_part", "_before_n", "_before_s", "_in_part"
@@ -96,8 +97,9 @@ def grouped_positions(
     starts = glob.groupBy(*group_cols).agg(
         F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("group_n")
     )
+    # one group may hold most rows: its rows are split over several tasks
     return (
-        glob.join(starts, group_cols, "left")
+        salted_join(glob, starts, group_cols, "left", spread_by=["_gpos"], other_unique=True)
         .withColumn(position, F.col("_gpos") - F.col("_start") + 1)
         .drop("_gpos", "_start")
     )

@@ -41,33 +41,41 @@ def _row_hash(cols: list[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *(F.col(c) for c in cols))
 
 
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def hot_keys(
-    df: DataFrame, key: str, spread_by: list[str], rows_per_piece: int | None = None
+    df: DataFrame, key: str | list[str], spread_by: list[str], rows_per_piece: int | None = None
 ) -> DataFrame:
-    """(key, _pieces) for the keys of ``df`` holding more than
+    """(key..., _pieces) for the keys of ``df`` holding more than
     ``rows_per_piece`` rows, estimated from a deterministic sample.
 
     ``spread_by`` are columns that tell rows of one key apart; the sample
     and the pieces are drawn from their hash.
     """
+    keys = _keys(key)
     limit = rows_per_piece or hot_key_rows(df)
     every = max(1, limit // _SAMPLED_AT_THRESHOLD)
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
     sampled = df.filter(
-        F.col(key).isNotNull() & (F.pmod(_row_hash([key, *spread_by], 17), F.lit(every)) == 0)
+        present & (F.pmod(_row_hash([*keys, *spread_by], 17), F.lit(every)) == 0)
     )
     est = F.col("_n") * every
     return (
-        sampled.groupBy(key)
+        sampled.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(est > limit)
-        .select(key, F.ceil(est / limit).cast("int").alias(_PIECES))
+        .select(*keys, F.ceil(est / limit).cast("int").alias(_PIECES))
     )
 
 
 def salted_join(
     big: DataFrame,
     other: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str = "inner",
     spread_by: list[str] | None = None,
     other_unique: bool = False,
@@ -80,24 +88,25 @@ def salted_join(
     is then regrouped per (key, piece) so the optimizer still knows it is
     unique and can drop a left join whose columns are not used.
     """
-    spread = spread_by or [c for c in big.columns if c != key]
-    hot = F.broadcast(hot_keys(big, key, spread, rows_per_piece))
+    keys = _keys(key)
+    spread = spread_by or [c for c in big.columns if c not in keys]
+    hot = F.broadcast(hot_keys(big, keys, spread, rows_per_piece))
     piece = F.pmod(_row_hash(spread, 29), F.col(_PIECES))
-    salted_big = big.join(hot, key, "left").withColumn(
+    salted_big = big.join(hot, keys, "left").withColumn(
         _SALT, F.coalesce(piece, F.lit(0)).cast("int")
     ).drop(_PIECES)
     copies = F.when(F.col(_PIECES).isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col(_PIECES) - 1)
     )
-    salted_other = other.join(hot, key, "left").withColumn(_SALT, F.explode(copies)).drop(
+    salted_other = other.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(
         _PIECES
     )
     if other_unique:
-        values = [c for c in other.columns if c != key]
-        salted_other = salted_other.groupBy(key, _SALT).agg(
+        values = [c for c in other.columns if c not in keys]
+        salted_other = salted_other.groupBy(*keys, _SALT).agg(
             *(F.min(c).alias(c) for c in values)
         )
-    return salted_big.join(salted_other, [key, _SALT], how).drop(_SALT)
+    return salted_big.join(salted_other, [*keys, _SALT], how).drop(_SALT)
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
