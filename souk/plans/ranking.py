@@ -26,10 +26,6 @@ _ROW, _PART, _BEFORE_N, _BEFORE_S, _IN_PART = "_row", "_part", "_before_n", "_be
 _LOW_BITS = 33
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered(
     df: DataFrame,
     order_by: list[Column],
@@ -43,8 +39,10 @@ def ordered(
     rows strictly before (NULL counted as 0; 0 for the first row).
     """
     ensure_checkpoint_dir(df.sparkSession)
+    # no explicit partition count: AQE may merge neighbouring ranges of a
+    # small input (merged ranges stay in order)
     staged = (
-        df.repartitionByRange(_partitions(df), *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn(_ROW, F.monotonically_increasing_id())
         .checkpoint(eager=True)

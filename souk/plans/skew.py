@@ -110,11 +110,13 @@ def salted_join(
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than shuffle partitions over all
-    partitions (round robin). A large table has many splits and is left
-    as it is; a single-file table would otherwise run every map-side step
-    in one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Spread a scan with fewer splits than the cluster has cores over
+    all cores (round robin). A large table has many splits and is left as
+    it is; a single-file table would otherwise run every map-side step in
+    one task."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = min(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if df.rdd.getNumPartitions() >= n:
         return df
     return df.repartition(n)
