@@ -271,11 +271,8 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """Seller mart (20 columns, see ``SELLER_MART``), for sellers that have
     a delivered item and at least one review.
 
-    One pass instead of nine joined marts: item rows are joined to their
-    order and to the order's review statistics (all keyed on order_id, one
-    shuffle per input), aggregated per (order, seller) on that same
-    partitioning, then per seller (one more shuffle, of partial
-    aggregates). Every seller feature is a ratio of sums of the pair rows.
+    One pass instead of nine joined marts (``seller_aggregates``): every
+    seller feature is a ratio of sums of per-(order, seller) rows.
     """
     per_seller = seller_aggregates(m, rates)
     # The per-seller table (one row per seller) feeds both the mart rows and

@@ -1,6 +1,6 @@
 """Plan checks: no Python in the hot path, scans read only needed columns,
-ranking never funnels the rows through one partition, co-partitioned
-order-keyed inputs are shuffled once."""
+ranking never funnels the rows through one partition, an unused lookup is
+dropped, and no nested-loop join appears once nothing can be broadcast."""
 
 from __future__ import annotations
 
