@@ -53,16 +53,12 @@ def test_unused_order_date_lookup_is_dropped(spark):
     assert "Join" not in text and "xxhash" not in text
 
 
-def test_no_nested_loop_join_without_broadcasts(spark):
-    from souk.sources.star import load_star_marketplace
-
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_no_nested_loop_join_without_broadcasts(spark, name):
+    # as at scale, where no table is small enough to broadcast
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        m = load_star_marketplace(spark, SF_SMALL)
-        from souk.operators import link, orders
-
-        for df in (sellers.seller_aggregates(m), orders.order_features(m, with_distance=True),
-                   link.link_table(m)):
-            assert "NestedLoop" not in plan(df)
+        text = plan(spark_query(name)(spark, SF_SMALL))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
