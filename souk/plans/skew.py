@@ -115,8 +115,12 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     it is; a single-file table would otherwise run every map-side step in
     one task."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
     n = min(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if df.rdd.getNumPartitions() >= n:
+    if splits >= n:
         return df
     return df.repartition(n)
