@@ -23,8 +23,10 @@ from souk.sources.schemas import MULTILINE_TABLES, TABLE_SCHEMAS
 # zip or city is the first one in this order).
 GEO_ORDER = "seq"
 
-# The three parts removed from a file name to get its key.
-_KEY_STRIPS = ("olist_", "_dataset", ".csv")
+# The prefix, suffix and extension removed from a data file
+# name to get its table key.
+FILE_PREFIX, FILE_SUFFIX, FILE_EXT = "olist_", "_dataset", ".csv"
+_KEY_STRIPS = (FILE_PREFIX, FILE_SUFFIX, FILE_EXT)
 
 _TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -60,6 +62,12 @@ def table_key(file_name: str) -> str:
     return key
 
 
+def file_name(key: str, plain: bool = False) -> str:
+    """The file name a table key is read from (``plain``: the key alone,
+    as for the category translation file)."""
+    return f"{key}{FILE_EXT}" if plain else f"{FILE_PREFIX}{key}{FILE_SUFFIX}{FILE_EXT}"
+
+
 def _file_order() -> Column:
     # Rows of one file split keep their file order in the id; splits of a
     # file are ordered by their start offset, files by path. The id alone is

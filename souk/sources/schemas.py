@@ -107,8 +107,8 @@ CATEGORY_TRANSLATION = _schema(
     ("product_category_name_english", StringType()),
 )
 
-# Table key (file name with the "olist_", "_dataset" and ".csv" parts
-# removed) -> schema.
+# Table key (the file name without the fixed parts of
+# ``catalog.FILE_PREFIX``, ``FILE_SUFFIX`` and ``FILE_EXT``) -> schema.
 TABLE_SCHEMAS: dict[str, StructType] = {
     "customers": CUSTOMERS,
     "geolocation": GEOLOCATION,

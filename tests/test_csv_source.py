@@ -10,18 +10,14 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from souk.operators import orders, products, sellers
 from souk.registry import marketplace
-from souk.sources.catalog import GEO_ORDER, load_csv_marketplace
+from souk.sources.catalog import GEO_ORDER, file_name, load_csv_marketplace
 
 FILES = {
-    "orders": "olist_orders_dataset",
-    "order_items": "olist_order_items_dataset",
-    "order_reviews": "olist_order_reviews_dataset",
-    "customers": "olist_customers_dataset",
-    "sellers": "olist_sellers_dataset",
-    "products": "olist_products_dataset",
-    "geolocation": "olist_geolocation_dataset",
-    "category_translation": "product_category_name_translation",
+    table: file_name(table)
+    for table in ("orders", "order_items", "order_reviews", "customers", "sellers",
+                  "products", "geolocation")
 }
+FILES["category_translation"] = file_name("product_category_name_translation", plain=True)
 
 
 def _write_csv(df, path):
@@ -40,7 +36,7 @@ def both(spark, tmp_path_factory):
         df = getattr(m, table)
         if table == "geolocation":
             df = df.orderBy(GEO_ORDER).drop(GEO_ORDER)
-        _write_csv(df, d / f"{name}.csv")
+        _write_csv(df, d / name)
     return m, load_csv_marketplace(spark, str(d))
 
 

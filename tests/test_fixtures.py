@@ -244,14 +244,14 @@ def test_f7_round_to_one_then_zero_half_even(spark):
 # F8 CSV catalog --------------------------------------------------------------
 
 def test_f8_csv_catalog(spark, tmp_path):
-    from souk.sources.catalog import read_csv_catalog
+    from souk.sources.catalog import file_name, read_csv_catalog
 
-    (tmp_path / "olist_orders_dataset.csv").write_text(
+    (tmp_path / file_name("orders")).write_text(
         "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
         "order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
         "o1,c1,delivered,2017-10-02 10:56:33,,not a date,2017-10-10 21:25:13,2017-10-18 00:00:00\n"
     )
-    (tmp_path / "olist_order_reviews_dataset.csv").write_text(
+    (tmp_path / file_name("order_reviews")).write_text(
         "review_id,order_id,review_score,review_comment_title,review_comment_message,"
         "review_creation_date,review_answer_timestamp\n"
         'r1,o1,0,,"line one\nline two, with ""quotes""",2017-10-11 00:00:00,2017-10-12 03:43:48\n'
