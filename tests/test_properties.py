@@ -142,3 +142,37 @@ def test_violin_of_a_single_value_is_one_point(spark):
     worst = [r for r in got if r["profile"] == "Worst"]
     assert [(r["x"], r["density"], r["median"]) for r in worst] == [(5.0, 1.0, 5.0)]
     assert len([r for r in got if r["profile"] == "Good"]) == 100
+
+
+def test_ols_matches_numpy_normal_equations(m):
+    import numpy as np
+    from math import erf, sqrt
+
+    from souk.operators import orders
+    from souk.registry import OLS_FEATURES
+
+    feats = list(OLS_FEATURES)
+    df = orders.order_features(m)
+    got = {r["variable"]: r for r in rows(analysis.ols(df, "review_score", feats))}
+    pdf = df.select("review_score", *feats).toPandas().dropna()
+    x = np.column_stack([pdf[feats].to_numpy(float), np.ones(len(pdf))])
+    y = pdf["review_score"].to_numpy(float)
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    resid = y - x @ beta
+    dof = len(y) - x.shape[1]
+    se = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * (resid @ resid) / dof)
+    names = feats + ["Intercept"]
+    for name, b, s in zip(names, beta, se):
+        assert got[name]["coef"] == pytest.approx(b, rel=1e-6, abs=1e-9)
+        # two-sided p-value; the t distribution is close to normal at this dof
+        p_normal = 2 * (1 - 0.5 * (1 + erf(abs(b / s) / sqrt(2))))
+        assert got[name]["p_value"] == pytest.approx(p_normal, abs=5e-3)
+
+
+def test_bootstrap_is_reproducible(m):
+    seg = segments.seller_segments(
+        segments.ranked_sellers(sellers.seller_mart(m), segments.Cutoffs(2, 4, 7))
+    )
+    a = sorted(map(tuple, analysis.mean_one_star_ci(seg, seed=3).collect()))
+    b = sorted(map(tuple, analysis.mean_one_star_ci(seg, seed=3).collect()))
+    assert a == b
