@@ -66,16 +66,19 @@ def ranked_sellers(mart: DataFrame, cutoffs: Cutoffs = ABSOLUTE_CUTOFFS) -> Data
     * removed_before: total profit of the sellers removed before it;
     * n_sellers, total_profits and the cut-offs k_worst/k_bad/k_neutral.
 
-    Positions come from the distributed ranking plan; N and the total are
-    scalar subqueries, computed once.
+    Positions come from the distributed ranking plan; N and the total come
+    from one scalar subquery, computed once.
     """
     base = with_sales_per_order(mart)
     pos = ordered(base, removal_order(), "removal_rank", running_of="profits",
                   running="removed_before")
-    n = pos.agg(F.count(F.lit(1))).scalar()
-    total = pos.agg(F.sum("profits")).scalar()
+    totals = pos.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum("profits").alias("total"))
+    ).scalar()
     return (
-        pos.withColumns({"n_sellers": n, "total_profits": total})
+        pos.withColumns(
+            {"n_sellers": totals.getField("n"), "total_profits": totals.getField("total")}
+        )
         .withColumns(cutoffs.scaled(F.col("n_sellers")))
         .withColumn("profit_rank", F.col("n_sellers") + 1 - F.col("removal_rank"))
     )
