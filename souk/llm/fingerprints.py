@@ -114,7 +114,9 @@ def with_next(docs: DataFrame, buckets: int | None = None, add=lambda df: df) ->
     cuts = sorted(set(cuts), reverse=True)  # ids of rows, the largest first
     at = F.array(*(F.lit(x).cast("long") for x in cuts)) if cuts else F.array().cast("array<bigint>")
     last = F.lit(max(0, len(cuts) - 1))
-    own = F.coalesce(F.greatest(F.size(F.filter(at, lambda x: x >= F.col("_id"))) - 1, F.lit(0)), last)
+    own = F.when(F.col("_id").isNull(), last).otherwise(
+        F.greatest(F.size(F.filter(at, lambda x: x >= F.col("_id"))) - 1, F.lit(0))
+    )
     in_cut = F.array_position(at, F.col("_id"))
     homes = F.array(
         F.struct(own.alias("bucket"), F.lit(0).alias("ghost")),

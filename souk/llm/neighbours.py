@@ -157,15 +157,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def train(entries: DataFrame, parts: int, k: int, sample: int, target_recall: float) -> tuple[Router, int]:
+def train(entries: DataFrame, parts: int, k: int, sample: int, target_recall: float):
+    """(router, probes), or None without entries."""
     def run(batches):
         x = np.concatenate([_matrix(b.column("vector")) for b in batches] or [np.zeros((0, 1))])
         if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, parts, k, target_recall))])], names=["m"])
+            router, probes = fit(x, parts, k, target_recall)
+            model = pickle.dumps((vars(router), probes))
+            yield pa.RecordBatch.from_arrays([pa.array([model])], names=["m"])
 
     first = entries.orderBy("cid").limit(sample)  # cid is a hash
     row = first.repartitionByRange(1, "cid").sortWithinPartitions("cid").select("vector").mapInArrow(run, "m binary").first()
-    return pickle.loads(row["m"]) if row else None
+    if row is None:
+        return None
+    weights, probes = pickle.loads(row["m"])
+    return Router(**weights), probes
 
 
 # --- index and search -------------------------------------------------------
@@ -241,7 +247,7 @@ def search(
     while probes < parts and sum(sorted(sizes.get(p, 0) for p in range(parts))[:probes]) <= k:
         probes += 1  # enough candidates, whichever parts are probed
     routed = placed.filter("asked").select(
-        F.col("cid").alias("qid"), "vector", F.explode(F.slice("ranked", 1, probes)).alias("part")
+        F.col("cid").alias("qid"), F.col("vector").alias("probe"), F.explode(F.slice("ranked", 1, probes)).alias("part")
     )
     asks = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     cells = spark.createDataFrame(  # one row per part, at most MOST_PARTS
@@ -256,14 +262,14 @@ def search(
         F.element_at("ids", 1).alias("least"),
     )
     right = routed.join(F.broadcast(cells), "part").select(
-        "part", every("blocks").alias("block"), turn.alias("turn"), "qid", "vector"
+        "part", every("blocks").alias("block"), turn.alias("turn"), "qid", "probe"
     )
 
     def compare(table, queries):
         best = {"qid": [], "cid": [], "score": []}
         if table.num_rows and queries.num_rows:
             table = table.sort_by("cid")
-            x, q = _matrix(table.column("vector")), _matrix(queries.column("vector"))
+            x, q = _matrix(table.column("vector")), _matrix(queries.column("probe"))
             least = table.column("least").to_numpy()
             cids = np.array(table.column("cid").to_pylist(), object)
             qids = queries.column("qid").to_pylist()
