@@ -88,9 +88,6 @@ def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> DataFr
     )
 
 
-def _place(c: Column) -> Column:
-    """1-based place in the alphabet, 0 for other characters."""
-    return F.instr(F.lit(ALPHABET), c)
 
 
 def pair_table(words: DataFrame) -> Column:
@@ -98,7 +95,7 @@ def pair_table(words: DataFrame) -> Column:
     n = len(ALPHABET) + 1
     i = F.explode(F.sequence(F.lit(1), F.length("w") - 1))
     pairs = words.select("w", "n", i.alias("i"))
-    first, second = (F.locate(F.substring("w", F.col("i") + k, F.lit(1)), F.lit(ALPHABET)) for k in (0, 1))
+    first, second = (F.position(F.substring("w", F.col("i") + k, F.lit(1)), F.lit(ALPHABET)) for k in (0, 1))
     counts = pairs.groupBy((first * n + second).alias("p")).agg(F.sum("n").alias("c"))
     found = {r["p"]: float(r["c"]) for r in counts.collect()}  # at most n * n
     total = sum(found.values()) + n * n
@@ -119,8 +116,8 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         lambda acc, i: acc
         + F.element_at(
             table,
-            F.locate(F.substring(lower, i, F.lit(1)), F.lit(ALPHABET)) * n
-            + F.locate(F.substring(lower, i + 1, F.lit(1)), F.lit(ALPHABET)) + 1,
+            F.position(F.substring(lower, i, F.lit(1)), F.lit(ALPHABET)) * n
+            + F.position(F.substring(lower, i + 1, F.lit(1)), F.lit(ALPHABET)) + 1,
         ),
     ) / size
     near = F.concat_ws(" ", "before", "second")

@@ -79,35 +79,42 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(m, -60, 60))))
 
 
-def fit(texts: list[bytes], labels, buckets=BUCKETS, rank=RANK, stem=STEM, epochs=EPOCHS, seed=7) -> Machine:
-    """Adam with L2 on the touched weights, classes weighed alike."""
+def fit(
+    texts: list[bytes], labels, buckets=BUCKETS, rank=RANK, stem=STEM, epochs=EPOCHS, seed=7,
+    alpha=1.0, l1=6.0, l2=0.1, pair_rate=0.02, pair_l2=1e-3,
+) -> Machine:
+    """Additive weights by follow-the-regularised-leader with an L1 term, which
+    keeps the many terms without evidence at zero; pair factors by AdaGrad."""
     rng = np.random.default_rng(seed)
     x = [terms(t, buckets, stem) for t in texts]
     y = np.asarray(labels, np.float64)
-    n_pos = max(1.0, y.sum())
-    weight = np.where(y > 0, min(8.0, (len(y) - n_pos) / n_pos) if len(y) > n_pos else 1.0, 1.0)
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     bias = float(np.log(p / (1 - p)))
-    w = np.zeros(buckets)
-    v = rng.normal(0, 0.01, (buckets, rank))
-    gw, gv = np.zeros(buckets), np.zeros((buckets, rank))  # sums of squared gradients
+    z, n, w = np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
+    v, gv = rng.normal(0, 0.05, (buckets, rank)), np.zeros((buckets, rank))
     for _ in range(epochs):
         for k in rng.permutation(len(x)):
             at = x[k]
-            n = max(1, len(at))
+            if not len(at):
+                continue
             va = v[at]
             total = va.sum(0)
-            m = bias + w[at].sum() + 0.5 * (total @ total - (va * va).sum()) / n
-            g = weight[k] * (1 / (1 + np.exp(-np.clip(m, -60, 60))) - y[k])
-            bias -= 0.01 * g
-            if abs(g) < 1e-4 or not len(at):
+            m = bias + w[at].sum() + 0.5 * (total @ total - (va * va).sum()) / len(at)
+            g = 1 / (1 + np.exp(-np.clip(m, -60, 60))) - y[k]
+            bias -= 0.002 * g
+            if abs(g) < 1e-3:
                 continue
-            d = g + 1e-5 * w[at]
-            gw[at] += d * d
-            w[at] -= 0.1 * d / np.sqrt(gw[at] + 1e-8)
-            dv = g * (total - va) / n + 1e-4 * va
+            before = n[at]
+            after = before + g * g
+            z[at] += g - (np.sqrt(after) - np.sqrt(before)) / alpha * w[at]
+            n[at] = after
+            za = z[at]
+            w[at] = np.where(
+                np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((1 + np.sqrt(after)) / alpha + l2)
+            )
+            dv = g * (total - va) / len(at) + pair_l2 * va
             gv[at] += dv * dv
-            v[at] = va - 0.02 * dv / np.sqrt(gv[at] + 1e-8)
+            v[at] = va - pair_rate * dv / np.sqrt(gv[at] + 1e-8)
     return Machine(bias, w.astype(np.float32), v.astype(np.float32), stem)
 
 
