@@ -97,11 +97,21 @@ def mix(
         rows, [F.col(c).asc() for c in ("no_source", "source", "size", "_id", "_hash")], "mix"
     )
     sources = placed.groupBy("no_source", "source").agg(
-        F.sum("size").alias("source_size"), F.min("_pos").alias("_first")
+        F.sum("size").alias("source_size"),
+        F.min("_pos").alias("_first"),
+        F.max("_pos").alias("_last"),
     )
     shares = targets(sources, weights, cap).join(
         sources.drop("source_size"), ["no_source", "source"]
     )
+    # a source's rows lie side by side: cut into pieces of places, so that one
+    # source may hold most rows; shares go to the pieces that they reach, which
+    # are no more than the pieces and sources together
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = placed.agg(F.max("_pos")).first()[0] or 0
+    piece = lambda c: F.expr(f"{c} div {most // (4 * parts) + 1}")
+    shares = shares.withColumn("_piece", F.explode(F.sequence(piece("_first"), piece("_last"))))
+    placed = placed.withColumn("_piece", piece("_pos"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("source"))), 1, 8), 16, 10)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double"))
     shares = shares.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).withColumn(
@@ -111,7 +121,7 @@ def mix(
     upto = F.floor(F.col("_offset") + F.col("_rate") * (place + 1).cast("double"))
     before = F.floor(F.col("_offset") + F.col("_rate") * place.cast("double"))
     return (
-        placed.join(shares, ["no_source", "source"])
+        placed.join(shares, ["no_source", "source", "_piece"])
         .withColumn("copies", upto - before)
         .select(
             F.col("_id").alias(id_col),
