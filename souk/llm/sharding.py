@@ -32,8 +32,6 @@ from souk.llm.common import positions, sha256_of, staged
 SHARDS = 8
 # Capacities tried by one job.
 TRIALS = 31
-# Rows of one group that are numbered by one task.
-ROWS_PER_PIECE = 100_000
 
 
 def _greedy(prefix: DataFrame, capacities: list[int], shards: int, largest: int) -> list[list[int]]:
@@ -77,9 +75,11 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int = SHARDS,
-    rows_per_piece: int = ROWS_PER_PIECE,
+    rows_per_piece: int | None = None,
 ) -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
+    """(id, size, text_crc32, law, shard, slot, grown_shard) for every row; the
+    rows of one group are numbered ``rows_per_piece`` at a time, by default a
+    quarter of a partition's share of all rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = staged(
         docs.select(
@@ -90,6 +90,9 @@ def shard(
         ),
         "shard-rows",
     )
+    if rows_per_piece is None:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows_per_piece = rows.count() // (4 * parts) + 1
     groups = rows.groupBy("_text").agg(
         F.min("_id").alias("_first"), F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")
     )
@@ -112,14 +115,19 @@ def shard(
     joined = rows.join(placed, "_text")
     pieces = F.ceil(F.col("_rows") / F.lit(rows_per_piece))
     joined = joined.withColumn("_piece", F.pmod(F.xxhash64("_id"), pieces))
+    joined = joined.repartition("_text", "_piece")  # else the window stays with the join's tasks
     counts = joined.filter(F.col("_rows") > rows_per_piece).groupBy("_text", "_piece").agg(
         F.count(F.lit(1)).alias("_n")
     )
     before = Window.partitionBy("_text").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_text", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_text", "_piece").orderBy("_id")
-    numbered = joined.withColumn("_in", F.row_number().over(within) - 1).join(
-        counts, ["_text", "_piece"], "left"
+    counts = counts.withColumnRenamed("_text", "_group").withColumnRenamed("_piece", "_part")
+    numbered = joined.withColumn("_in", F.row_number().over(within) - 1)
+    numbered = numbered.join(
+        counts,
+        (numbered["_text"] == counts["_group"]) & (numbered["_piece"] == counts["_part"]),
+        "left",
     )
     return numbered.select(
         F.col("_id").alias(id_col),
