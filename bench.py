@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,7 +43,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
-    extra = json.loads(os.environ.get("BENCH_CONF", "{}"))
+    extra = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="souk-bench-")}
+    extra |= json.loads(os.environ.get("BENCH_CONF", "{}"))
     spark = build_session(
         f"local[{cpus}]", shuffle_partitions=cpus, driver_memory="16g", extra=extra
     )

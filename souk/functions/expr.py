@@ -35,20 +35,21 @@ def avg_months_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(float(SECONDS_PER_AVG_MONTH * 1_000_000))
 
 
-def micros_sums(x: Column, name: str) -> list[Column]:
-    """Exact sum of a microsecond column as two bigint sums: whole seconds
-    (``{name}_s``) and leftover microseconds (``{name}_us``).
+def micros_sums(x: Column, name: str, weight: Column | None = None) -> list[Column]:
+    """Exact sum of a microsecond column (each row ``weight`` times) as two
+    bigint sums: whole seconds (``{name}_s``) and leftover microseconds
+    (``{name}_us``).
 
     Integer sums are exact and order-independent, so partial aggregates can
-    be combined in any grouping; split in two they cannot overflow even for
-    a group holding a large share of all rows (2^63 seconds, or 2^63 / 10^6
-    rows), and they stay on the fast bigint path (a decimal(38,0) sum costs
-    about 2.5x more per row).
+    be combined in any grouping. The value is split before it is weighted: a
+    month's seconds times any count of reviews stays far below 2^63, where
+    its microseconds would not. They stay on the fast bigint path (a
+    decimal(38,0) sum costs about 2.5x more per row).
     """
     us = F.pmod(x, F.lit(1_000_000))
-    # x - us is a multiple of 10^6 below 2^53 in magnitude: exact division
-    s = ((x - us) / F.lit(1_000_000.0)).cast("bigint")
-    return [F.sum(s).alias(f"{name}_s"), F.sum(us).alias(f"{name}_us")]
+    s = F.call_function("div", x - us, F.lit(1_000_000).cast("bigint"))
+    w = F.lit(1) if weight is None else weight
+    return [F.sum(s * w).alias(f"{name}_s"), F.sum(us * w).alias(f"{name}_us")]
 
 
 def resum(name: str) -> list[Column]:

@@ -99,7 +99,7 @@ def wait_time(m: Marketplace) -> DataFrame:
     )
     w, wait = _review_weight(), F.col("wait_us")
     sums = rows.groupBy("product_id").agg(
-        *micros_sums(w * wait, "wait"), F.sum(F.when(wait.isNotNull(), w)).alias("n_wait")
+        *micros_sums(wait, "wait", w), F.sum(F.when(wait.isNotNull(), w)).alias("n_wait")
     )
     return sums.select("product_id", mean_days("wait", F.col("n_wait")).alias("wait_time"))
 
@@ -178,7 +178,7 @@ def product_mart(
         F.sum("freight_value").alias("freight_sum"),
         F.count("freight_value").alias("n_freight"),
         F.count_if(delivered).alias("n_delivered"),
-        *micros_sums(F.when(delivered, w * wait), "wait"),
+        *micros_sums(F.when(delivered, wait), "wait", w),
         F.sum(F.when(delivered & wait.isNotNull(), w)).alias("wait_w"),
         *[
             F.max(c).alias(c)

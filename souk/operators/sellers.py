@@ -18,6 +18,7 @@ from souk.operators.geo import LAT, LNG, first_point
 from souk.operators.orders import is_delivered_col, order_features
 from souk.operators.reviews import order_review_stats, review_means
 from souk.plans.skew import salted_join
+from souk.session import ensure_checkpoint_dir
 from souk.sources.catalog import Marketplace
 
 SELLER_MART = (
@@ -278,6 +279,7 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     # The per-seller table (one row per seller) feeds both the mart rows and
     # the IT-cost denominator over all sellers; a checkpoint computes it once
     # (otherwise each use re-reads the items) and cuts the lineage.
+    ensure_checkpoint_dir(per_seller.sparkSession)
     per_seller = per_seller.checkpoint(eager=True)
     it = it_costs(per_seller.select("seller_id", "n_orders"), rates)
     revenue = _commission(F.col("_sales"), rates) + F.lit(

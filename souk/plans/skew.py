@@ -21,6 +21,9 @@ a million rows qualify. Results are exactly those of the plain join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ DEFAULT_HOT_KEY_ROWS = 1_000_000
 _SAMPLED_AT_THRESHOLD = 100
 
 _PIECES, _SALT = "_pieces", "_salt"
+# Pieces for the rows without a key, more than any cluster has tasks at once.
+_NULL_PIECES = 1 << 16
 
 
 def hot_key_rows(df: DataFrame) -> int:
@@ -92,8 +97,11 @@ def salted_join(
     spread = spread_by or [c for c in big.columns if c not in keys]
     hot = F.broadcast(hot_keys(big, keys, spread, rows_per_piece))
     piece = F.pmod(_row_hash(spread, 29), F.col(_PIECES))
+    # rows with a NULL key match nothing: any piece will do, so they spread
+    no_key = reduce(or_, (F.col(k).isNull() for k in keys))
+    anywhere = F.pmod(_row_hash(spread, 29), F.lit(_NULL_PIECES))
     salted_big = big.join(hot, keys, "left").withColumn(
-        _SALT, F.coalesce(piece, F.lit(0)).cast("int")
+        _SALT, F.when(no_key, anywhere).otherwise(F.coalesce(piece, F.lit(0))).cast("int")
     ).drop(_PIECES)
     copies = F.when(F.col(_PIECES).isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col(_PIECES) - 1)
@@ -107,20 +115,3 @@ def salted_join(
             *(F.min(c).alias(c) for c in values)
         )
     return salted_big.join(salted_other, [*keys, _SALT], how).drop(_SALT)
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores over
-    all cores (round robin). A large table has many splits and is left as
-    it is; a single-file table would otherwise run every map-side step in
-    one task."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    n = min(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if splits >= n:
-        return df
-    return df.repartition(n)

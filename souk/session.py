@@ -8,9 +8,6 @@ point ``spark.checkpoint.dir`` at a shared folder (HDFS, S3, ...).
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # AQE re-plans joins at runtime from real sizes (sort-merge -> broadcast for
@@ -46,28 +43,19 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only if none is set.
-
-    The cluster names its shared folder in ``spark.checkpoint.dir``; it is
-    read from the session. A fresh local folder is created only when the
-    setting is missing (local runs and tests).
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no driver-side context (Spark Connect): the server's setting applies
-        return spark.conf.get("spark.checkpoint.dir", "")
+    """The session's checkpoint folder, as the cluster names it in
+    ``spark.checkpoint.dir``. There is no local fallback: on a cluster a
+    folder of one machine would lose rows without an error."""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="souk-ckpt-", dir=os.environ.get("TMPDIR"))
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

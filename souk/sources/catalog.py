@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import posixpath
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,7 @@ from souk.sources.schemas import MULTILINE_TABLES, TABLE_SCHEMAS
 # zip or city is the first one in this order).
 GEO_ORDER = "seq"
 
-# The prefix, suffix and extension removed from a data file
-# name to get its table key.
-FILE_PREFIX, FILE_SUFFIX, FILE_EXT = "olist_", "_dataset", ".csv"
-_KEY_STRIPS = (FILE_PREFIX, FILE_SUFFIX, FILE_EXT)
+FILE_EXT = ".csv"
 
 _TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -54,18 +52,11 @@ class Marketplace:
         return cls(**picked)
 
 
-def table_key(file_name: str) -> str:
-    """Catalog key of a CSV file: its name without the fixed parts."""
-    key = posixpath.basename(file_name)
-    for part in _KEY_STRIPS:
-        key = key.replace(part, "")
-    return key
-
-
-def file_name(key: str, plain: bool = False) -> str:
-    """The file name a table key is read from (``plain``: the key alone,
-    as for the category translation file)."""
-    return f"{key}{FILE_EXT}" if plain else f"{FILE_PREFIX}{key}{FILE_SUFFIX}{FILE_EXT}"
+def table_key(file_name: str, prefix: str = "", suffix: str = "") -> str:
+    """Catalog key of a CSV file: its name without extension and without the
+    given prefix and suffix."""
+    name = posixpath.basename(file_name).removesuffix(FILE_EXT)
+    return name.removeprefix(prefix).removesuffix(suffix)
 
 
 def _file_order() -> Column:
@@ -79,12 +70,15 @@ def _file_order() -> Column:
     )
 
 
-def read_csv_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read one CSV file with the declared schema of ``key``.
+def read_csv_table(spark: SparkSession, path: str | list[str], key: str) -> DataFrame:
+    """Read the CSV file(s) of one table with the declared schema of ``key``.
 
-    Unknown tables are read as all-string columns named from the header.
-    Malformed values (bad timestamps, non-numeric text) become NULL.
+    Columns go by header name, whatever their order; a missing declared
+    column is an error, and so are files of one table with different
+    headers. Undeclared columns are left out; unknown tables are read as all
+    strings. Malformed values (bad timestamps, non-numeric text) become NULL.
     """
+    paths = [path] if isinstance(path, str) else list(path)
     reader = (
         spark.read.option("header", True)
         .option("escape", '"')
@@ -92,14 +86,25 @@ def read_csv_table(spark: SparkSession, path: str, key: str) -> DataFrame:
         .option("multiLine", key in MULTILINE_TABLES)
         .option("timestampNTZFormat", _TIMESTAMP_FORMAT)
     )
-    schema = TABLE_SCHEMAS.get(key)
-    if schema is None:
-        header = spark.read.option("header", True).csv(path).columns
-        schema = StructType([StructField(c, StringType(), True) for c in header])
-    df = reader.schema(schema).csv(path)
+    headers = {p: reader.csv(p).columns for p in paths}
+    if len({frozenset(h) for h in headers.values()}) > 1:
+        raise ValueError(f"files of table {key!r} have different headers: {headers}")
+    declared = TABLE_SCHEMAS.get(key)
+    names = [f.name for f in declared.fields] if declared is not None else headers[paths[0]]
+    kinds = {f.name: f.dataType for f in declared.fields} if declared is not None else {}
+    missing = [n for n in names if n not in headers[paths[0]]]
+    if missing:
+        raise ValueError(f"table {key!r} lacks the columns {missing}")
     if key == "geolocation":
-        df = df.withColumn(GEO_ORDER, _file_order())
-    return df
+        names = [*names, GEO_ORDER]
+    parts = []
+    for p in paths:
+        in_order = StructType([StructField(c, kinds.get(c, StringType()), True) for c in headers[p]])
+        df = reader.schema(in_order).csv(p)
+        if key == "geolocation":
+            df = df.withColumn(GEO_ORDER, _file_order())
+        parts.append(df.select(*names))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def list_csv_files(spark: SparkSession, directory: str) -> list[str]:
@@ -117,13 +122,18 @@ def list_csv_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(row.path for row in listing.collect())
 
 
-def read_csv_catalog(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Every CSV file of ``directory`` as a DataFrame, keyed by table key."""
-    return {
-        table_key(path): read_csv_table(spark, path, table_key(path))
-        for path in list_csv_files(spark, directory)
-    }
+def read_csv_catalog(
+    spark: SparkSession, directory: str, prefix: str = "", suffix: str = ""
+) -> dict[str, DataFrame]:
+    """The CSV files of ``directory`` as DataFrames by table key (see
+    ``table_key``); all files of one key make one table."""
+    by_key: dict[str, list[str]] = {}
+    for path in list_csv_files(spark, directory):
+        by_key.setdefault(table_key(path, prefix, suffix), []).append(path)
+    return {key: read_csv_table(spark, paths, key) for key, paths in by_key.items()}
 
 
-def load_csv_marketplace(spark: SparkSession, directory: str) -> Marketplace:
-    return Marketplace.from_tables(read_csv_catalog(spark, directory))
+def load_csv_marketplace(
+    spark: SparkSession, directory: str, prefix: str = "", suffix: str = ""
+) -> Marketplace:
+    return Marketplace.from_tables(read_csv_catalog(spark, directory, prefix, suffix))

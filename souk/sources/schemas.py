@@ -107,8 +107,7 @@ CATEGORY_TRANSLATION = _schema(
     ("product_category_name_english", StringType()),
 )
 
-# Table key (the file name without the fixed parts of
-# ``catalog.FILE_PREFIX``, ``FILE_SUFFIX`` and ``FILE_EXT``) -> schema.
+# Table key (see ``catalog.table_key``) -> schema.
 TABLE_SCHEMAS: dict[str, StructType] = {
     "customers": CUSTOMERS,
     "geolocation": GEOLOCATION,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from datetime import datetime
 from decimal import Decimal
 
@@ -22,7 +23,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark() -> SparkSession:
-    return build_session("local[4]", shuffle_partitions=4, app_name="souk-tests")
+    folder = tempfile.mkdtemp(prefix="souk-tests-")
+    return build_session(
+        "local[4]", shuffle_partitions=4, app_name="souk-tests",
+        extra={"spark.checkpoint.dir": folder},
+    )
 
 
 GEO_SCHEMA = StructType(schemas.GEOLOCATION.fields + [StructField(GEO_ORDER, LongType())])

@@ -10,6 +10,7 @@ from souk.functions.expr import round_half_even
 from souk.operators import link, orders, products, reviews, segments, sellers
 from souk.operators.economics import Rates
 from souk.operators.geo import first_point
+from souk.sources import schemas
 
 APPROX = dict(rel=1e-12, abs=1e-12)
 
@@ -244,14 +245,14 @@ def test_f7_round_to_one_then_zero_half_even(spark):
 # F8 CSV catalog --------------------------------------------------------------
 
 def test_f8_csv_catalog(spark, tmp_path):
-    from souk.sources.catalog import file_name, read_csv_catalog
+    from souk.sources.catalog import read_csv_catalog
 
-    (tmp_path / file_name("orders")).write_text(
+    (tmp_path / "shop_orders_data.csv").write_text(
         "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
         "order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
         "o1,c1,delivered,2017-10-02 10:56:33,,not a date,2017-10-10 21:25:13,2017-10-18 00:00:00\n"
     )
-    (tmp_path / file_name("order_reviews")).write_text(
+    (tmp_path / "shop_order_reviews_data.csv").write_text(
         "review_id,order_id,review_score,review_comment_title,review_comment_message,"
         "review_creation_date,review_answer_timestamp\n"
         'r1,o1,0,,"line one\nline two, with ""quotes""",2017-10-11 00:00:00,2017-10-12 03:43:48\n'
@@ -261,7 +262,7 @@ def test_f8_csv_catalog(spark, tmp_path):
         "product_category_name,product_category_name_english\nbeleza_saude,health_beauty\n"
     )
     (tmp_path / "notes.txt").write_text("not a table\n")
-    tables = read_csv_catalog(spark, str(tmp_path))
+    tables = read_csv_catalog(spark, str(tmp_path), "shop_", "_data")
     assert set(tables) == {"orders", "order_reviews", "product_category_name_translation"}
     (o,) = rows(tables["orders"])
     assert o["order_approved_at"] is None and o["order_delivered_carrier_date"] is None
@@ -305,3 +306,22 @@ def test_f9_segments_and_cohorts(spark):
     # best first; the three tied profits of 3 are ordered by seller_id
     assert [by_rank[k] for k in range(1, 11)] == [
         "s00", "s05", "s07", "s01", "s02", "s03", "s09", "s06", "s04", "s08"]
+
+
+def test_wait_time_of_an_order_with_millions_of_reviews(spark):
+    m = market(
+        spark,
+        orders=[dict(order_id="o1", customer_id="c1", order_status="delivered",
+                     order_purchase_timestamp=ts("2017-01-01 00:00:00"),
+                     order_delivered_customer_date=ts("2017-01-31 00:00:00"))],
+        order_items=[dict(order_id="o1", order_item_id=1, product_id="p1", seller_id="s1", price=money(1))],
+        products=[dict(product_id="p1")],
+    )
+    reviews_ = spark.range(4_000_000).select(
+        *(F.lit("o1").alias(f.name) if f.name == "order_id"
+          else F.lit(5 if f.name == "review_score" else None).cast(f.dataType).alias(f.name)
+          for f in schemas.ORDER_REVIEWS.fields)
+    ).withColumn("review_id", F.lit("r"))
+    m = type(m)(**{**m.__dict__, "order_reviews": reviews_})
+    assert [r["wait_time"] for r in rows(products.wait_time(m))] == [30.0]
+    assert [r["wait_time"] for r in rows(products.product_mart(m))] == [30.0]

@@ -43,3 +43,23 @@ def test_unique_lookup_left_join_dropped_when_unused(spark, frames):
     joined = salted_join(big, lookup, "k", "left", spread_by=["v"], other_unique=True)
     text = joined.select("k", "v")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in text
+
+
+def test_rows_without_a_key_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from souk.plans.skew import salted_join
+
+    big = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    other = spark.range(8000).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = salted_join(big, other, "k", "left", spread_by=["v"])
+        per_task = out.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per_task) == 8000
+        assert max(r["count"] for r in per_task) < 1.3 * 8000 / len(per_task)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
