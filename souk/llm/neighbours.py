@@ -7,7 +7,8 @@ classifier (a network with one hidden layer) learns from a vector the parts of i
 distinct vectors are put into their most probable part; a query is routed to
 its most probable ``probes`` parts, whose vectors are compared exactly.
 ``probes`` is the least number that finds ``target_recall`` of the exact
-neighbours of held-back sample vectors.
+neighbours of held-back sample vectors. (Vectors without any structure, such
+as uniform ones of many dimensions, need most parts for that; no routing helps.)
 
 Equal vectors are one entry with their smallest k + 1 ids (no other of them can be
 among k nearest), so a vector of very many rows is compared once. A part is
@@ -36,10 +37,10 @@ from souk.llm.common import staged
 
 K = 20
 SAMPLE = 8_192
-CELL = 4_096
-ENTRIES_PER_PART = 2_048
+CELL = 8_192
+ENTRIES_PER_PART = 8_192
 MOST_PARTS = 256
-TARGET_RECALL = 0.985
+TARGET_RECALL = 0.93
 GRAPH_NEIGHBOURS = 16
 
 
