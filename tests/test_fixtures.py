@@ -315,7 +315,8 @@ def test_wait_time_of_an_order_with_millions_of_reviews(spark):
                      order_purchase_timestamp=ts("2017-01-01 00:00:00"),
                      order_delivered_customer_date=ts("2017-01-31 00:00:00"))],
         order_items=[dict(order_id="o1", order_item_id=1, product_id="p1", seller_id="s1", price=money(1))],
-        products=[dict(product_id="p1")],
+        products=[dict(product_id="p1", product_category_name="c")],
+        category_translation=[dict(product_category_name="c", product_category_name_english="c")],
     )
     reviews_ = spark.range(4_000_000).select(
         *(F.lit("o1").alias(f.name) if f.name == "order_id"
