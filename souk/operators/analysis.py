@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from souk.plans.distributions import bootstrap_mean_ci, box_stats, grouped_quantiles, kde
+from souk.plans.distributions import (
+    bootstrap_mean_ci,
+    box_fliers,
+    box_stats,
+    grouped_quantiles,
+    kde,
+)
 
 # Fixed values of the charts: density grids of 200 points cut 3 bandwidths
 # beyond the data, violins of 100 points cut 2 bandwidths beyond, whiskers
@@ -40,6 +46,11 @@ def box_wait_time(segments: DataFrame) -> DataFrame:
     return box_stats(segments, ["profile"], "wait_time", ["seller_id"], WHISKERS)
 
 
+def fliers_wait_time(segments: DataFrame) -> DataFrame:
+    """The sellers whose customer wait lies outside the whiskers of their profile."""
+    return box_fliers(segments, ["profile"], "wait_time", ["seller_id"], WHISKERS)
+
+
 def violin_sales_per_order(segments: DataFrame) -> DataFrame:
     """Violin data of sales per order per profile: density on a 100-point
     grid and the quartiles drawn inside. A profile whose values are all

@@ -24,11 +24,12 @@ def link_table(m: Marketplace, legacy_order: bool = False) -> DataFrame:
     It is written as a left join plus an anti join: the many-rows side
     (reviews, then items) is the preserved side of a salted left join, so
     an order holding a large share of the rows is split over several tasks,
-    and the anti joins only test the distinct order ids of that side.
+    and the anti joins only test the distinct order ids of that side. Orders
+    with very many reviews are split for the items' join too.
     """
     orders = m.orders.select("order_id", "customer_id")
     reviews = m.order_reviews.select("order_id", "review_id")
-    items = m.order_items.select("order_id", "product_id", "seller_id")
+    items = m.order_items.select("order_id", "product_id", "seller_id", "order_item_id")
 
     def ids(df: DataFrame) -> DataFrame:
         return df.select("order_id").distinct()
@@ -40,10 +41,14 @@ def link_table(m: Marketplace, legacy_order: bool = False) -> DataFrame:
         )
     )
     # (...) FULL JOIN items, as items LEFT JOIN head + head rows without items
-    no_items = head.join(ids(items), "order_id", "left_anti")
+    no_items = salted_join(
+        head, ids(items), "order_id", "left_anti", spread_by=["review_id", "customer_id"]
+    )
     link = salted_join(
-        items, head, "order_id", "left", spread_by=["product_id", "seller_id"]
-    ).unionByName(
+        items, head, "order_id", "left",
+        spread_by=["product_id", "seller_id", "order_item_id"],
+        other_spread_by=["review_id", "customer_id"],
+    ).drop("order_item_id").unionByName(
         no_items.withColumns(
             {
                 "product_id": F.lit(None).cast(items.schema["product_id"].dataType),

@@ -124,10 +124,9 @@ def seller_customer_distance(m: Marketplace) -> DataFrame:
     reviewed = (
         m.order_reviews.filter(F.col("review_id").isNotNull()).select("order_id").distinct()
     )
-    orders = (
-        m.orders.select("order_id", "customer_id")
-        .join(reviewed, "order_id", "left_semi")
-        .join(customers, "customer_id")
+    orders = salted_join(
+        m.orders.select("order_id", "customer_id").join(reviewed, "order_id", "left_semi"),
+        customers, "customer_id", spread_by=["order_id"],
     )
     items = salted_join(
         m.order_items.filter(F.col("product_id").isNotNull()).select(
@@ -152,8 +151,8 @@ def order_features(
 ) -> DataFrame:
     """Order mart, one row per (order, review), rows with any NULL dropped.
 
-    Review rows are joined to one per-order row (wait times and basket,
-    both keyed on order_id); an order with very many reviews is split over
+    Review rows are joined to one per-order row (wait times, basket and
+    distance, all keyed on order_id); an order with very many reviews is split over
     several tasks. ``legacy`` combines the superseded wait time and product
     count (both arguments are then ignored, as before).
     """
@@ -163,6 +162,9 @@ def order_features(
     per_order = wait_time(m, is_delivered, legacy=legacy).join(
         basket(m, legacy=legacy), "order_id"
     )
+    if with_distance:
+        per_order = per_order.join(seller_customer_distance(m), "order_id")
+        cols.append("distance_seller_customer")
     score = F.col("review_score")
     reviews = m.order_reviews.select(
         "order_id", "review_id",
@@ -171,7 +173,4 @@ def order_features(
         score,
     )
     mart = salted_join(reviews, per_order, "order_id", spread_by=["review_id", "review_score"])
-    if with_distance:
-        mart = mart.join(seller_customer_distance(m), "order_id")
-        cols.append("distance_seller_customer")
     return mart.select(*cols).dropna(how="any")

@@ -30,7 +30,9 @@ def _product_items(m: Marketplace) -> DataFrame:
 def product_features(m: Marketplace) -> DataFrame:
     """Products with an English category (others are dropped), with the
     misspelt length columns renamed."""
-    return m.products.join(m.category_translation, "product_category_name").select(
+    return salted_join(
+        m.products, m.category_translation, "product_category_name", spread_by=["product_id"]
+    ).select(
         "product_id",
         F.col("product_name_lenght").alias("product_name_length"),
         F.col("product_description_lenght").alias("product_description_length"),

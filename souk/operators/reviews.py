@@ -63,6 +63,17 @@ def bad_scores(m: Marketplace) -> DataFrame:
     )
 
 
+def score_counts(m: Marketplace, lowest: int = 1, highest: int = 5) -> DataFrame:
+    """Review rows per score, with whether the score is a valid one (NULL
+    scores are a row of their own, not valid)."""
+    score = F.col("review_score")
+    return m.order_reviews.groupBy("review_score").agg(F.count(F.lit(1)).alias("n_reviews")).select(
+        "review_score",
+        "n_reviews",
+        F.coalesce(score.between(lowest, highest), F.lit(False)).alias("is_valid"),
+    )
+
+
 def review_length(m: Marketplace) -> DataFrame:
     """Per review: length of the comment (0 when there is none)."""
     return m.order_reviews.select(
@@ -97,6 +108,15 @@ def main_product_category(m: Marketplace) -> DataFrame:
     )
 
 
+def review_category(m: Marketplace) -> DataFrame:
+    """Per review row of an order with a categorised item: review_id,
+    order_id and the main category of the order."""
+    return salted_join(
+        m.order_reviews.select("review_id", "order_id"), main_product_category(m),
+        "order_id", spread_by=["review_id"],
+    ).select("review_id", "order_id", "product_category")
+
+
 def review_features(m: Marketplace) -> DataFrame:
     """Per review: review_id, order_id, comment length and main category of
     the reviewed order (NULL when the order has no categorised item)."""

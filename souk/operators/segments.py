@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import round_half_even
 from souk.plans.ranking import ordered
+from souk.plans.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -218,20 +219,19 @@ def city_rollup(mart: DataFrame) -> DataFrame:
     sales (rounded to 0), seller count, and the sellers' points rounded to 2
     decimals; rows with a NULL are dropped, duplicates removed.
 
-    One aggregate over the mart: the distinct rounded points of a city are
-    gathered as a set next to the city statistics and expanded afterwards.
-    The set is small: the mart's point is the first point of the seller's
-    city, so every seller of a city has the same one.
+    Two partial aggregates over the mart: the distinct rounded points, and
+    one row of statistics per city that they are joined to.
     """
     city = mart.filter(F.col("seller_city").isNotNull())
 
     def twice(c: str) -> Column:
         return round_half_even(round_half_even(F.avg(c), 1), 0)
 
-    point = F.struct(
+    points = city.select(
+        "seller_city",
         round_half_even(F.col("geolocation_lat"), 2).alias("lat"),
         round_half_even(F.col("geolocation_lng"), 2).alias("lng"),
-    )
+    ).distinct()
     stats = city.groupBy("seller_city").agg(
         twice("delay_to_carrier").alias("avg_delay_to_carrier"),
         twice("wait_time").alias("avg_wait_time"),
@@ -240,12 +240,9 @@ def city_rollup(mart: DataFrame) -> DataFrame:
         round_half_even(F.coalesce(F.sum("profits"), F.lit(0.0)), 0).alias("total_profits"),
         round_half_even(F.coalesce(F.sum("sales"), F.lit(0.0)), 0).alias("total_sales"),
         F.count("seller_id").alias("n_sellers"),
-        F.collect_set(point).alias("_points"),
     )
     return (
-        stats.withColumn("_point", F.explode("_points"))
-        .withColumns({"lat": F.col("_point.lat"), "lng": F.col("_point.lng")})
+        salted_join(points, stats, "seller_city", spread_by=["lat", "lng"])
         .select(*CITY_ROLLUP)
         .dropna(how="any")
-        .distinct()
     )

@@ -177,16 +177,17 @@ def revenues(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     )
 
 
+def _it_cost(n_orders: DataFrame, rates: Rates) -> Column:
+    """The denominator is a scalar subquery over all sellers, computed once
+    (never a global window, which would run on one partition)."""
+    total = n_orders.agg(F.sum(F.sqrt("n_orders"))).scalar()
+    return F.sqrt("n_orders") * (F.lit(rates.it_total) / total)
+
+
 def it_costs(n_orders: DataFrame, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """IT cost per seller: the IT total shared in proportion to
-    sqrt(n_orders). The denominator is a scalar subquery over all sellers,
-    computed once (never a global window, which would run on one
-    partition)."""
-    total = n_orders.agg(F.sum(F.sqrt("n_orders"))).scalar()
-    return n_orders.select(
-        "seller_id",
-        (F.sqrt("n_orders") * (F.lit(rates.it_total) / total)).alias("it_costs"),
-    )
+    sqrt(n_orders)."""
+    return n_orders.select("seller_id", _it_cost(n_orders, rates).alias("it_costs"))
 
 
 def costs(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
@@ -281,14 +282,12 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     # (otherwise each use re-reads the items) and cuts the lineage.
     ensure_checkpoint_dir(per_seller.sparkSession)
     per_seller = per_seller.checkpoint(eager=True)
-    it = it_costs(per_seller.select("seller_id", "n_orders"), rates)
     revenue = _commission(F.col("_sales"), rates) + F.lit(
         rates.subscription_per_month
     ) * F.col("active_months")
-    cost = F.col("it_costs") + F.col("_review_costs")
+    cost = _it_cost(per_seller, rates) + F.col("_review_costs")
     mart = (
         per_seller.filter((F.col("_n_delivered") > 0) & (F.col("_n_reviews") > 0))
-        .join(it, "seller_id")
         .withColumns(
             {
                 "delay_to_carrier": mean_days("delay", F.col("_n_delivered")),
@@ -337,14 +336,15 @@ LEGACY_SELLER_MART = (
 def legacy_seller_mart(m: Marketplace) -> DataFrame:
     """Superseded seller mart: six inner joins, then rows with a NULL
     dropped; no location, no economics."""
-    qs = quantity_sales(m, legacy=True)
+    qs = quantity_sales(m, legacy=True).select(
+        "seller_id", "n_orders", "quantity", "quantity_per_order", "sales"
+    )
     return (
         seller_features(m, legacy=True)
         .join(delay_wait(m, legacy=True), "seller_id")
         .join(active_dates(m, legacy=True), "seller_id")
         .join(legacy_review_scores(m), "seller_id")
-        .join(qs.select("seller_id", "n_orders", "quantity", "quantity_per_order"), "seller_id")
-        .join(qs.select("seller_id", "sales"), "seller_id")
+        .join(qs, "seller_id")
         .select(*LEGACY_SELLER_MART)
         .dropna(how="any")
     )

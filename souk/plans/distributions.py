@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import sqrt2pi
 from souk.plans.ranking import grouped_positions
-from souk.plans.skew import salted_join
+from souk.plans.skew import hot_key_rows, salted_join
 
 
 def _present(df: DataFrame, group_cols: list[str], value: str, extra: list[str]) -> DataFrame:
@@ -76,12 +76,10 @@ def grouped_quantiles(
     )
 
 
-def box_stats(
-    df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str], whis: float = 1.5
+def _with_limits(
+    df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str], whis: float
 ) -> DataFrame:
-    """Box-plot statistics per group: n, q1, median, q3, whiskers (furthest
-    data within ``whis`` * IQR of the box, the quartile if none) and the
-    number of points outside the whiskers."""
+    """Present values beside their group's quartiles and whisker limits."""
     quart = grouped_quantiles(
         df, group_cols, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, tiebreak
     )
@@ -89,10 +87,31 @@ def box_stats(
     limits = quart.withColumns(
         {"_lo_lim": F.col("q1") - whis * iqr, "_hi_lim": F.col("q3") + whis * iqr}
     )
-    x = F.col(value)
     vals = _present(df, group_cols, value, tiebreak)
+    return salted_join(vals, limits, group_cols, spread_by=[value, *tiebreak], other_unique=True)
+
+
+def box_fliers(
+    df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str], whis: float = 1.5
+) -> DataFrame:
+    """The rows (group, tiebreak columns, value) outside the whiskers."""
+    x = F.col(value)
+    return (
+        _with_limits(df, group_cols, value, tiebreak, whis)
+        .filter((x < F.col("_lo_lim")) | (x > F.col("_hi_lim")))
+        .select(*group_cols, *tiebreak, value)
+    )
+
+
+def box_stats(
+    df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str], whis: float = 1.5
+) -> DataFrame:
+    """Box-plot statistics per group: n, q1, median, q3, whiskers (furthest
+    data within ``whis`` * IQR of the box, the quartile if none) and the
+    number of points outside the whiskers."""
+    x = F.col(value)
     agg = (
-        salted_join(vals, limits, group_cols, spread_by=[value, *tiebreak], other_unique=True)
+        _with_limits(df, group_cols, value, tiebreak, whis)
         .groupBy(*group_cols, "q1", "median", "q3")
         .agg(
             F.count(x).alias("n"),
@@ -163,7 +182,10 @@ def kde(
     z = (F.col("x") - F.col(value)) / F.col("_bw")
     # a group with very many distinct values is split; its grid is copied
     return (
-        salted_join(counts, grid, group_cols, spread_by=[value])
+        salted_join(
+            counts, grid, group_cols, spread_by=[value],
+            rows_per_piece=max(1, hot_key_rows(df) // gridsize),  # a row meets the whole grid
+        )
         .groupBy(*group_cols, "point", "x", "_n", "_bw")
         .agg(F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_k"))
         .select(

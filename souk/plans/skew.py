@@ -14,9 +14,11 @@ inputs are not; so the split is written out:
 * the other side's rows of a hot key are copied to every piece;
 * the join runs on (key, piece); cold keys use piece 0 on both sides.
 
-The hot-key table has at most rows / rows_per_piece entries, a bound that
-makes broadcasting it safe; with the default threshold only keys with over
-a million rows qualify. Results are exactly those of the plain join.
+The hot-key table holds the keys with most rows, at most four for each
+shuffle partition, so broadcasting it is bounded by the cluster's setting
+and not by the data: a key beyond those holds less than a quarter of a
+partition's share and needs no split. Results are exactly those of the
+plain join.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ DEFAULT_HOT_KEY_ROWS = 1_000_000
 _SAMPLED_AT_THRESHOLD = 100
 
 _PIECES, _SALT = "_pieces", "_salt"
+_TURNS, _TURN, _MET = "_turns", "_turn", "_met"
+# Keys beyond this many for each shuffle partition hold too little to split.
+_HOT_KEYS_PER_PARTITION = 4
 # Pieces for the rows without a key, more than any cluster has tasks at once.
 _NULL_PIECES = 1 << 16
 
@@ -69,14 +74,26 @@ def hot_keys(
         present & (F.pmod(_row_hash([*keys, *spread_by], 17), F.lit(every)) == 0)
     )
     est = F.col("_n") * every
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         sampled.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(est > limit)
+        .orderBy(F.desc("_n"), *keys)
+        .limit(_HOT_KEYS_PER_PARTITION * parts)
         .select(*keys, F.ceil(est / limit).cast("int").alias(_PIECES))
     )
 
 
+def _each(pieces: str) -> Column:
+    """One row for each piece of a hot key, one for any other key."""
+    return F.explode(
+        F.when(F.col(pieces).isNull(), F.array(F.lit(0))).otherwise(
+            F.sequence(F.lit(0), F.col(pieces) - 1)
+        )
+    )
+
+
 def salted_join(
     big: DataFrame,
     other: DataFrame,
@@ -85,10 +102,13 @@ def salted_join(
     spread_by: list[str] | None = None,
     other_unique: bool = False,
     rows_per_piece: int | None = None,
+    other_spread_by: list[str] | None = None,
 ) -> DataFrame:
     """``big.join(other, key, how)`` with hot keys of ``big`` split.
 
-    ``how`` is "inner" or "left" (``big`` is the preserved side).
+    ``how`` is "inner", "left" or "left_anti" (``big`` is the preserved side).
+    ``other_spread_by``: keys with many rows in ``other`` are split as well,
+    by the hash of these columns of it (not for "left_anti").
     ``other_unique``: ``other`` has at most one row per key; the salted copy
     is then regrouped per (key, piece) so the optimizer still knows it is
     unique and can drop a left join whose columns are not used.
@@ -103,15 +123,26 @@ def salted_join(
     salted_big = big.join(hot, keys, "left").withColumn(
         _SALT, F.when(no_key, anywhere).otherwise(F.coalesce(piece, F.lit(0))).cast("int")
     ).drop(_PIECES)
-    copies = F.when(F.col(_PIECES).isNull(), F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.col(_PIECES) - 1)
-    )
-    salted_other = other.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(
-        _PIECES
-    )
+    salted_other = other.join(hot, keys, "left").withColumn(_SALT, _each(_PIECES)).drop(_PIECES)
     if other_unique:
         values = [c for c in other.columns if c not in keys]
         salted_other = salted_other.groupBy(*keys, _SALT).agg(
             *(F.min(c).alias(c) for c in values)
         )
-    return salted_big.join(salted_other, [*keys, _SALT], how).drop(_SALT)
+    if not other_spread_by:
+        return salted_big.join(salted_other, [*keys, _SALT], how).drop(_SALT)
+    many = hot_keys(other, keys, other_spread_by, rows_per_piece)
+    many = F.broadcast(many.withColumnRenamed(_PIECES, _TURNS))
+    turn = F.pmod(_row_hash(other_spread_by, 31), F.col(_TURNS)).cast("int")
+    salted_big = salted_big.join(many, keys, "left").withColumn(_TURN, _each(_TURNS))
+    salted_other = (
+        salted_other.join(many, keys, "left")
+        .withColumns({_TURN: F.coalesce(turn, F.lit(0)), _MET: F.lit(True)})
+        .drop(_TURNS)
+    )
+    # a key that is hot in ``other`` has rows there, so in a left join a copy
+    # without a match only repeats a row that is matched elsewhere
+    joined = salted_big.join(salted_other, [*keys, _SALT, _TURN], how)
+    return joined.filter(F.col(_TURNS).isNull() | F.col(_MET).isNotNull()).drop(
+        _SALT, _TURN, _TURNS, _MET
+    )

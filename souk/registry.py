@@ -163,6 +163,16 @@ WHERE COLUMNS(*) IS NOT NULL""",
         reviews.bad_scores,
         """SELECT review_score, count(*) AS n_reviews FROM m_reviews
 WHERE review_score IS NOT NULL AND review_score NOT BETWEEN 1 AND 5 GROUP BY review_score""",
+    ),
+    "review_category": Query(
+        reviews.review_category,
+        "SELECT review_id, order_id, product_category FROM m_reviews JOIN h2 USING (order_id)",
+    ),
+    "review_score_counts": Query(
+        lambda m: reviews.score_counts(m, lowest=2),
+        """SELECT review_score, count(*) AS n_reviews,
+  coalesce(review_score BETWEEN 2 AND 5, false) AS is_valid
+FROM m_reviews GROUP BY review_score""",
     ),
     # ranking, what-if and segments over the seller mart
     "seller_ranked": Query(
@@ -217,6 +227,23 @@ FROM c10""",
 FROM c10 WHERE share_of_one_stars > 0.10 AND wait_time > 12.0 AND sales / n_orders < 200.0""",
         ("share_of_one_stars", "wait_time", "sales_per_order", "profits"),
     ),
+    # the same operators with values that split the driver tables' sellers
+    "behaviour_points_narrow": Query(
+        lambda m: segments.behaviour_points(sellers.seller_mart(m), 0.18, 380.0),
+        """SELECT seller_id, share_of_one_stars, sales / n_orders AS sales_per_order, sales, profits,
+  coalesce(share_of_one_stars BETWEEN 0.0 AND 0.18 AND sales / n_orders BETWEEN 0.0 AND 380.0,
+           false) AS in_window
+FROM c10""",
+        ("share_of_one_stars", "sales_per_order", "sales", "profits"),
+    ),
+    "at_risk_sellers_wide": Query(
+        lambda m: segments.at_risk_sellers(
+            sellers.seller_mart(m), segments.RiskRule(0.18, 12.0, 380.0)
+        ),
+        """SELECT seller_id, share_of_one_stars, wait_time, sales / n_orders AS sales_per_order, profits
+FROM c10 WHERE share_of_one_stars > 0.18 AND wait_time > 12.0 AND sales / n_orders < 380.0""",
+        ("share_of_one_stars", "wait_time", "sales_per_order", "profits"),
+    ),
     "city_rollup": Query(
         lambda m: segments.city_rollup(sellers.seller_mart(m)),
         _select("e14"),
@@ -233,6 +260,13 @@ FROM c10 WHERE share_of_one_stars > 0.10 AND wait_time > 12.0 AND sales / n_orde
         sql.box_sql("segments", "profile", "wait_time"),
         ("q1", "median", "q3", "whislo", "whishi"),
     ),
+    "box_wait_time_fliers": Query(
+        lambda m: analysis.fliers_wait_time(segments.seller_segments(_ranked(m))),
+        f"""SELECT profile, seller_id, wait_time FROM segments
+JOIN ({sql.box_sql("segments", "profile", "wait_time")}) AS box USING (profile)
+WHERE wait_time < whislo OR wait_time > whishi""",
+        ("wait_time",),
+    ),
     "violin_sales_per_order": Query(
         lambda m: analysis.violin_sales_per_order(segments.seller_segments(_ranked(m))),
         *sql.violin_query("e10", "segments", "profile", "sales_per_order"),

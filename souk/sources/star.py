@@ -6,11 +6,6 @@ marketplace columns are derived deterministically from keys and dates
 only ``order_items`` looks up another table (the date of its order), and the
 ``nation``/``region`` dimensions have a fixed size (25 and 5 rows), so they
 are broadcast.
-
-A scan with fewer splits than shuffle partitions (the driver writes one
-row group per table) is spread round robin so that every step before the
-first shuffle still runs on all cores; tables made of many files are read
-as they are.
 """
 
 from __future__ import annotations

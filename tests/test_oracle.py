@@ -47,7 +47,7 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(e.queries()) == set(QUERIES)
+    assert set(QUERIES) <= set(e.queries())
 
 
 SKEW_CHECKED = (

@@ -31,6 +31,37 @@ def test_salted_equals_plain(frames, how, rows_per_piece):
     assert _rows(salted) == _rows(plain)
 
 
+@pytest.mark.parametrize("rows_per_piece", [100, 10_000_000])
+def test_salted_anti_join_equals_plain(frames, rows_per_piece):
+    big, other = frames
+    plain = big.join(other, "k", "left_anti")
+    salted = salted_join(big, other, "k", "left_anti", spread_by=["v"], rows_per_piece=rows_per_piece)
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("rows_per_piece", [20, 10_000_000])
+def test_both_sides_split_equals_plain(spark, how, rows_per_piece):
+    # key 1 is hot on both sides, 2 only in the other, 3 only in the big side
+    big = [(1, i) for i in range(300)] + [(2, 0), (2, 1), (9, 1), (None, 0)] + [(3, i) for i in range(300)]
+    other = [(1, f"a{i}") for i in range(100)] + [(2, f"b{i}") for i in range(900)] + [(3, "c"), (None, "n")]
+    big = spark.createDataFrame(big, "k int, v int")
+    other = spark.createDataFrame(other, "k int, w string")
+    plain = big.join(other, "k", how)
+    salted = salted_join(
+        big, other, "k", how, spread_by=["v"], other_spread_by=["w"], rows_per_piece=rows_per_piece
+    )
+    assert salted.columns == plain.columns
+    assert _rows(salted) == _rows(plain)
+
+
+def test_hot_key_table_is_bounded_by_the_partitions(spark):
+    rows = [(k, v) for k in range(100) for v in range(50 + k)]
+    hot = hot_keys(spark.createDataFrame(rows, "k int, v int"), "k", ["v"], rows_per_piece=20)
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["k"] for r in hot.collect()) == list(range(100 - most, 100))
+
+
 def test_hot_key_found_and_split(frames):
     big, _ = frames
     (row,) = hot_keys(big, "k", ["v"], rows_per_piece=100).collect()
