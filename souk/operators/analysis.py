@@ -3,9 +3,10 @@ significant-coefficient table of a linear model."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from souk.plans.distributions import (
     bootstrap_mean_ci,
@@ -100,33 +101,119 @@ def significant_coefficients(coefs: DataFrame, alpha: float = P_VALUE) -> DataFr
     )
 
 
-_COEFS = StructType(
-    [
-        StructField("variable", StringType()),
-        StructField("coef", DoubleType()),
-        StructField("p_value", DoubleType()),
-    ]
-)
+# Midpoints of the t distribution's tail integral, and how far it is followed
+# in units of the statistic (beyond 40 nothing is left at double precision
+# unless the tail is bounded by the quarter turn first).
+_TAIL_STEPS, _TAIL_REACH = 20_000, 40.0
+# A pivot below this share of the feature's variance is a linear dependence.
+_DEPENDENT = 1e-10
 
 
-def ols(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Ordinary least squares of ``label`` on ``features`` (with
-    intercept), fitted by Spark ML's distributed normal-equation solver.
+def _swept(matrix: Column, size: int) -> Column:
+    """The ``size`` x ``size`` matrix (flat, by rows) swept on all but its last
+    diagonal element. Dependent rows and columns become zero."""
+
+    def at(m: Column, i: Column, j: Column) -> Column:
+        return F.get(m, i * size + j)
+
+    def sweep(m: Column, k: Column) -> Column:
+        pivot = at(m, k, k)
+
+        def cell(v: Column, x: Column) -> Column:
+            i, j = F.floor(x / size).cast("int"), (x % size).cast("int")
+            return (
+                F.when(pivot > _DEPENDENT * at(matrix, k, k), F.when((i == k) & (j == k), 1 / pivot)
+                       .when(i == k, v / pivot)
+                       .when(j == k, -v / pivot)
+                       .otherwise(v - at(m, i, k) * at(m, k, j) / pivot))
+                .when((i == k) | (j == k), F.lit(0.0))
+                .otherwise(v)
+            )
+
+        return F.transform(m, cell)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 2)), matrix, sweep)
+
+
+def _two_sided_p(t: Column, dof: Column) -> Column:
+    """P(|T| > t) of Student's t: with T = sqrt(dof) tan(a) the density is
+    proportional to cos(a)^(dof - 1), summed at midpoints."""
+    start = F.atan(t / F.sqrt(dof))
+    stop = F.least(F.lit(math.pi / 2), _TAIL_REACH / F.sqrt(dof))
 
-    Returns one row per coefficient (and ``Intercept``) with its p-value.
-    Only the fitted coefficients (one per feature) reach the driver.
+    def integral(lo: Column) -> Column:
+        step = F.greatest(stop - lo, F.lit(0.0)) / _TAIL_STEPS
+
+        def add(total: Column, x: Column) -> Column:
+            sine = F.sin(lo + (x + 0.5) * step)
+            return total + F.exp((dof - 1) / 2 * F.log1p(-sine * sine))
+
+        return step * F.aggregate(
+            F.sequence(F.lit(0), F.lit(_TAIL_STEPS - 1)), F.lit(0.0), add
+        )
+
+    return integral(start) / integral(F.lit(0.0))
+
+
+def ols(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """Ordinary least squares of ``label`` on ``features`` (with intercept)
+    over the rows without a NULL in them: (variable, coef, p_value), one row
+    per feature and one for ``Intercept``.
+
+    One pass: a single partial aggregate gives means and covariances (their
+    number is set by the features, not by the rows), and the sweep operator
+    over that one row gives coefficients, residuals and standard errors.
+    p-values are two-sided, by Student's t. A constant feature or a linear
+    combination of those before it has NULL coefficient and p-value; with no
+    degree of freedom left all p-values are NULL.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    data = df.dropna(how="any", subset=[label, *features])
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(data)
-    model = LinearRegression(
-        featuresCol="_x", labelCol=label, solver="normal", regParam=0.0,
-        standardization=False,
-    ).fit(assembled)
-    p = model.summary.pValues  # coefficients first, then the intercept
-    rows = [(f, float(c), float(pv)) for f, c, pv in zip(features, model.coefficients, p)]
-    rows.append(("Intercept", float(model.intercept), float(p[-1])))
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, _COEFS)
+    cols = [*features, label]
+    last, size = len(features), len(cols)
+    data = df.dropna(how="any", subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))
+    pairs = {
+        (i, j): F.covar_pop(cols[i], cols[j]) for i in range(size) for j in range(i, size)
+    }
+    stats = data.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.array(*(F.avg(c) for c in cols)).alias("_mean"),
+        F.array(*(pairs[min(i, j), max(i, j)] for i in range(size) for j in range(size))).alias("_cov"),
+    ).withColumn("_s", _swept(F.col("_cov"), size))
+
+    def swept(i: int, j: int) -> Column:
+        return F.get("_s", F.lit(i * size + j))
+
+    def mean(i: int) -> Column:
+        return F.get("_mean", F.lit(i))
+
+    def total(terms) -> Column:
+        return sum(terms, F.lit(0.0))
+
+    used = total((swept(i, i) > 0).cast("int") for i in range(last))
+    spread = total(
+        mean(i) * swept(i, j) * mean(j) for i in range(last) for j in range(last)
+    )
+    fitted = [
+        F.struct(
+            F.lit(name).alias("variable"),
+            F.when(swept(i, i) > 0, swept(i, last)).alias("coef"),
+            swept(i, i).alias("_v"),
+        )
+        for i, name in enumerate(features)
+    ]
+    intercept = F.struct(
+        F.lit("Intercept").alias("variable"),
+        (mean(last) - total(swept(i, last) * mean(i) for i in range(last))).alias("coef"),
+        (1 + spread).alias("_v"),
+    )
+    # residual sum over n; the same n divides the coefficients' variances
+    rows = stats.select(
+        (F.col("_n") - 1 - used).alias("_dof"),
+        F.greatest(swept(last, last), F.lit(0.0)).alias("_rss"),
+        F.explode(F.array(*fitted, intercept)).alias("_f"),
+    ).select("_dof", "_f.variable", "_f.coef",
+             F.when(F.col("_dof") > 0, F.sqrt(F.col("_rss") / F.col("_dof") * F.col("_f._v"))).alias("_se"))
+    t = F.abs(F.col("coef")) / F.col("_se")
+    p = F.when(F.col("_se") > 0, _two_sided_p(t, F.col("_dof"))).when(
+        (F.col("_se") == 0) & (F.col("coef") != 0), F.lit(0.0)
+    )
+    return rows.select("variable", "coef", p.alias("p_value"))

@@ -308,19 +308,28 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
 
 def legacy_review_scores(m: Marketplace) -> DataFrame:
     """Superseded seller review score: order mart rows (delivered, complete)
-    joined to every item row, so each review weighs by the seller's items
-    in the order."""
-    stars = order_features(m).select(
-        "order_id", "dim_is_five_star", "dim_is_one_star", "review_score"
+    beside every item row, so each review weighs by the seller's items in the
+    order. Built from one row of sums per order and one item count per
+    (order, seller); no review x item rows."""
+    per_order = order_features(m).groupBy("order_id").agg(
+        F.sum("dim_is_five_star").alias("_five"),
+        F.sum("dim_is_one_star").alias("_one"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("review_score").alias("_score"),
+        F.count("review_score").alias("_scored"),
     )
-    items = _seller_items(m).select("order_id", *ITEM_SPREAD)
+    items = _seller_items(m).groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("_items"))
+
+    def weighted(name: str) -> Column:
+        return F.sum(F.col("_items") * F.col(name))
+
     return (
-        salted_join(items, stars, "order_id", spread_by=ITEM_SPREAD)
+        salted_join(items, per_order, "order_id", spread_by=["seller_id"])
         .groupBy("seller_id")
         .agg(
-            F.avg("dim_is_five_star").alias("share_of_five_stars"),
-            F.avg("dim_is_one_star").alias("share_of_one_stars"),
-            F.avg("review_score").alias("review_score"),
+            F.try_divide(weighted("_five"), weighted("_rows")).alias("share_of_five_stars"),
+            F.try_divide(weighted("_one"), weighted("_rows")).alias("share_of_one_stars"),
+            F.try_divide(weighted("_score"), weighted("_scored")).alias("review_score"),
         )
     )
 

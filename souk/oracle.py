@@ -14,6 +14,8 @@ canonicalised the same way on both sides (``canonical_sql`` here,
 
 from __future__ import annotations
 
+from souk.plans.distributions import poisson1_thresholds
+
 
 def days(a: str, b: str) -> str:
     return f"(date_diff('microsecond', {a}, {b}) / 86400000000.0)"
@@ -498,3 +500,62 @@ SELECT DISTINCT * FROM (
         FROM c10 WHERE seller_city IS NOT NULL) USING (seller_city))
 WHERE COLUMNS(*) IS NOT NULL""",
 })
+
+
+def bootstrap_sql(src: str, group: str, value: str, row_id: str, replicates: int, level: float, seed: int) -> str:
+    """Mean per group with a Poisson bootstrap interval, one row per
+    (row, replicate)."""
+    weight = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in poisson1_thresholds())
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    return f"""SELECT g.*, ci_low, ci_high FROM (
+  SELECT {group}, avg({value}) AS mean, count({value}) AS n FROM {src}
+  WHERE {value} IS NOT NULL GROUP BY {group}) AS g
+LEFT JOIN (
+  SELECT {group}, quantile_cont(m, {lo!r}) AS ci_low, quantile_cont(m, {hi!r}) AS ci_high FROM (
+    SELECT {group}, b, sum(w * {value}) / nullif(sum(w), 0) AS m FROM (
+      SELECT {group}, {value}, b, {weight} AS w FROM (
+        SELECT {group}, {value}, b, CAST('0x' || substr(
+          md5(concat_ws(':', {row_id}, b // 4, {seed})), CAST(b % 4 * 8 + 1 AS BIGINT), 8) AS BIGINT) AS u
+        FROM {src}, range({replicates}) AS r(b) WHERE {value} IS NOT NULL))
+    GROUP BY {group}, b)
+  GROUP BY {group}) AS ci USING ({group})"""
+
+
+def ols_sql(src: str, label: str, features: tuple[str, ...], alpha: float) -> str:
+    """Significant coefficients of least squares: the sums of products of all
+    columns, swept on the constant and on every feature."""
+    columns = ["1", *features, label]
+    size = len(columns)
+    k = size - 1
+    values = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(columns))
+    given = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    sums = ", ".join(f"sum(x{i} * x{j})" for i in range(size) for j in range(size))
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(["Intercept", *features]))
+    pivot = f"m[k * {size} + k + 1]"
+
+    def area(lo: str) -> str:
+        return (
+            f"greatest(b - {lo}, 0) * list_sum([exp((nu - 1) * ln(cos({lo} + (x + 0.5) "
+            f"* greatest(b - {lo}, 0) / 20000))) FOR x IN range(20000)])"
+        )
+
+    return f"""SELECT variable, p_value, coef FROM (
+  WITH RECURSIVE sweep(k, n, m) AS (
+    SELECT 0, count(*), [{sums}] FROM (SELECT {values} FROM {src} WHERE {given})
+    UNION ALL
+    SELECT k + 1, n, [CASE
+      WHEN x // {size} = k AND x % {size} = k THEN 1 / {pivot}
+      WHEN x // {size} = k THEN m[x + 1] / {pivot}
+      WHEN x % {size} = k THEN -m[x + 1] / {pivot}
+      ELSE m[x + 1] - m[x // {size} * {size} + k + 1] * m[k * {size} + x % {size} + 1] / {pivot}
+      END FOR x IN range({size * size})]
+    FROM sweep WHERE k < {k}
+  ), fitted AS (
+    SELECT variable, m[i * {size} + {k} + 1] AS coef, CAST(n - {k} AS DOUBLE) AS nu,
+      sqrt(m[{size * size}] / (n - {k}) * m[i * {size} + i + 1]) AS se
+    FROM sweep, (VALUES {names}) AS v(i, variable) WHERE k = {k}
+  ), angles AS (
+    SELECT *, atan(abs(coef / se) / sqrt(nu)) AS a, least(pi() / 2, 40 / sqrt(nu)) AS b FROM fitted
+  )
+  SELECT variable, coef, {area("a")} / ({area("0.0")}) AS p_value FROM angles)
+WHERE p_value < {alpha!r}"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.expr import sqrt2pi
@@ -195,19 +195,19 @@ def kde(
     )
 
 
-def _poisson1_thresholds(k_max: int = 16) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(K <= k) for k < k_max."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(k_max):
-        acc += term
-        out.append(acc)
-        term /= k + 1
-    return out
+# A replicate's weight is drawn from 8 hex digits of an md5, which holds 4.
+_DRAWS_PER_HASH, _DRAW_DIGITS = 4, 8
 
 
-def _uniform(*cols: Column) -> Column:
-    h = F.xxhash64(*cols)
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+def poisson1_thresholds() -> list[int]:
+    """32-bit draws from which a Poisson(1) weight is above 0, 1, 2, ...:
+    P(K <= k) * 2^32, as far as a draw can reach."""
+    out, acc, term, k = [], 0.0, math.exp(-1.0), 0
+    while math.ceil((acc := acc + term) * 2**32) < 2**32:
+        out.append(math.ceil(acc * 2**32))
+        k += 1
+        term /= k
+    return out
 
 
 def bootstrap_mean_ci(
@@ -222,20 +222,24 @@ def bootstrap_mean_ci(
     """Mean of ``value`` per group with a percentile bootstrap interval.
 
     Poisson(1) bootstrap: in replicate b every row gets an independent
-    Poisson(1) weight drawn from a hash of (id, b, seed), so replicates are
-    reproducible and need no resampling shuffle; each replicate mean is a
-    weighted mean (a partial aggregate per (group, b)). The interval takes
-    the (1 - level)/2 and (1 + level)/2 percentiles of the ``replicates``
-    means of a group (a bounded set per group).
+    Poisson(1) weight drawn from the md5 of (id, b div 4, seed), so replicates
+    are reproducible, in any engine, and need no resampling shuffle; each
+    replicate mean is a weighted mean (a partial aggregate per (group, b)). The
+    interval takes the (1 - level)/2 and (1 + level)/2 percentiles of the
+    ``replicates`` means of a group (a bounded set per group).
     """
     vals = _present(df, group_cols, value, [id_col])
-    b = F.col("_b")
-    u = _uniform(F.col(id_col), b, F.lit(seed))
-    weight = sum(
-        (u >= F.lit(t)).cast("int") for t in _poisson1_thresholds()
-    )
+    hashes = math.ceil(replicates / _DRAWS_PER_HASH)
+    text = F.concat_ws(":", F.col(id_col).cast("string"), F.col("_h").cast("string"), F.lit(str(seed)))
+    digits = F.substr("_md5", F.col("_d") * _DRAW_DIGITS + 1, F.lit(_DRAW_DIGITS))
+    draw = F.conv(digits, 16, 10).cast("long")
+    weight = sum((F.col("_u") >= F.lit(t)).cast("int") for t in poisson1_thresholds())
     reps = (
-        vals.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        vals.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+        .withColumn("_md5", F.md5(text.cast("binary")))
+        .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(_DRAWS_PER_HASH - 1))))
+        .withColumns({"_b": F.col("_h") * _DRAWS_PER_HASH + F.col("_d"), "_u": draw})
+        .filter(F.col("_b") < replicates)
         .withColumn("_w", weight)
         .groupBy(*group_cols, "_b")
         .agg(

@@ -47,6 +47,16 @@ def _not_null(name: str) -> str:
     return f"SELECT * FROM {name} WHERE COLUMNS(*) IS NOT NULL"
 
 
+# Order features regressed on the review score by ``significant_coefs``, and
+# on the price by ``significant_coefs_price``.
+OLS_FEATURES = (
+    "wait_time", "delay_vs_expected", "number_of_products", "number_of_sellers",
+    "price", "freight_value",
+)
+BASKET_FEATURES = (
+    "wait_time", "delay_vs_expected", "number_of_sellers", "price", "freight_value", "review_score",
+)
+
 QUERIES: dict[str, Query] = {
     # sources and link table
     "link_table": Query(link.link_table, _select("link")),
@@ -279,7 +289,8 @@ WHERE wait_time < whislo OR wait_time > whishi""",
     ),
     "mean_one_star_ci": Query(
         lambda m: analysis.mean_one_star_ci(segments.seller_segments(_ranked(m))),
-        None,
+        sql.bootstrap_sql("segments", "profile", "share_of_one_stars", "seller_id",
+                          analysis.BOOT_REPLICATES, analysis.BOOT_LEVEL, 0),
         ("mean", "ci_low", "ci_high"),
     ),
     "kde_by_dimension": Query(
@@ -290,17 +301,19 @@ WHERE wait_time < whislo OR wait_time > whishi""",
         lambda m: analysis.significant_coefficients(
             analysis.ols(orders.order_features(m), "review_score", list(OLS_FEATURES))
         ),
-        None,
+        sql.ols_sql("b7", "review_score", OLS_FEATURES, analysis.P_VALUE),
+        ("p_value", "coef"),
+    ),
+    # scores of the driver tables depend on nothing; basket sizes do
+    "significant_coefs_basket": Query(
+        lambda m: analysis.significant_coefficients(
+            analysis.ols(orders.order_features(m), "number_of_products", list(BASKET_FEATURES))
+        ),
+        sql.ols_sql("b7", "number_of_products", BASKET_FEATURES, analysis.P_VALUE),
         ("p_value", "coef"),
     ),
 }
 
-# Order features regressed on the review score by ``significant_coefs``.
-OLS_FEATURES = (
-    "wait_time", "delay_vs_expected", "number_of_products", "number_of_sellers",
-    "price", "freight_value",
-)
-
 
 def _ranked(m: Marketplace) -> DataFrame:
     return segments.ranked_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
@@ -316,6 +329,8 @@ def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     parquet footers and re-analysing the source projections.
     """
     key = (spark, sf_dir)
+    if any(known is not spark for known, _ in _CATALOGS):
+        _CATALOGS.clear()  # plans of a session that has ended
     if key not in _CATALOGS:
         _CATALOGS[key] = load_star_marketplace(spark, sf_dir)
     return _CATALOGS[key]

@@ -169,6 +169,32 @@ def test_ols_matches_numpy_normal_equations(m):
         assert got[name]["p_value"] == pytest.approx(p_normal, abs=5e-3)
 
 
+def test_two_sided_p_matches_tables(spark):
+    # published two-sided 5 % and 1 % points of Student's t
+    points = [(12.7062, 1, 0.05), (2.2281, 10, 0.05), (3.1693, 10, 0.01), (1.9840, 100, 0.05),
+              (1.95996, 10**9, 0.05), (0.0, 7, 1.0)]
+    df = spark.createDataFrame(points, "t double, dof long, p double")
+    for r in df.withColumn("got", analysis._two_sided_p(F.col("t"), F.col("dof"))).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=5e-6)
+
+
+def test_ols_dependent_features_and_empty_input(spark):
+    df = spark.createDataFrame(
+        [(float(i), 2.0 * i, 5.0, 3.0 * i + i % 3) for i in range(40)],
+        "a double, twice double, const double, y double",
+    )
+    got = {r["variable"]: r for r in rows(analysis.ols(df, "y", ["a", "twice", "const"]))}
+    alone = {r["variable"]: r for r in rows(analysis.ols(df, "y", ["a"]))}
+    assert got["twice"]["coef"] is None and got["const"]["p_value"] is None
+    for name in ("a", "Intercept"):
+        assert got[name]["coef"] == pytest.approx(alone[name]["coef"])
+        assert got[name]["p_value"] == pytest.approx(alone[name]["p_value"])
+    empty = rows(analysis.ols(df.limit(0), "y", ["a"]))
+    assert [(r["coef"], r["p_value"]) for r in empty] == [(None, None)] * 2
+    (exact,) = [r for r in rows(analysis.ols(df, "twice", ["a"])) if r["variable"] == "a"]
+    assert (exact["coef"], exact["p_value"]) == (2.0, 0.0)
+
+
 def test_bootstrap_is_reproducible(m):
     seg = segments.seller_segments(
         segments.ranked_sellers(sellers.seller_mart(m), segments.Cutoffs(2, 4, 7))
