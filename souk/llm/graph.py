@@ -4,7 +4,8 @@ Alternating large-star and small-star steps: each node links its larger
 (then its smaller) neighbours to the least node it sees, until nothing
 changes; then every node is linked to its component's least node. Each step
 is an aggregate and a join on the node, and is staged, so the lineage stays
-short and no component is ever gathered anywhere.
+short and no component is ever gathered anywhere. A node that most links
+share is split over several tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import staged
+from souk.plans.skew import salted_join
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +22,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen = both if large else links
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = seen.join(least, "u")
+    joined = salted_join(seen, least, "u", spread_by=["v"])
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from souk.llm import graph, registry, simhash
+from souk.plans.skew import HOT_KEY_ROWS
 
 from .conftest import SF, as_rows, pairs
 
@@ -103,3 +104,18 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")
     got = {r["node"]: r["root"] for r in graph.roots(links).collect()}
     assert got == {i: 0 for i in range(1, n + 1)}
+
+
+@pytest.mark.parametrize("hub", [0, 700])
+def test_hub_is_split(spark, hub):
+    # one node in most links, above the (lowered) size of a piece
+    leaves = [(hub, n) for n in range(1, 700)] + [(1000, 1001), (5, 6)]
+    links = spark.createDataFrame(leaves, "u long, v long")
+    spark.conf.set(HOT_KEY_ROWS, "100")
+    try:
+        got = {r["node"]: r["root"] for r in graph.roots(links).collect()}
+    finally:
+        spark.conf.unset(HOT_KEY_ROWS)
+    first = min(hub, 1)
+    nodes = set(range(1, 700)) | {hub}
+    assert got == {n: first for n in nodes - {first}} | {1001: 1000}
