@@ -1,7 +1,10 @@
 """Secret scans: a random forest removes false positives among candidates.
 
 A candidate is a run of at least ``MIN_LENGTH`` of ``[A-Za-z0-9+/_.@:-]`` inside a
-word; what stands before a "=" in the word is its key. Each candidate gets
+word; what stands before a "=" in the word (or before a ":", if it names a
+credential) is its key. A value that is given to a credential's name and holds
+no such run is a candidate as a whole, whatever its length and characters.
+Each candidate gets
 
 * its length and shares of digits, capitals, marks and distinct characters;
 * character transitions: changes of class, and the mean log probability of
@@ -13,7 +16,8 @@ word; what stands before a "=" in the word is its key. Each candidate gets
 * neighbouring words: whether the key or the words before name a credential or assign.
 
 The forest is trained on labelled findings (any table of id, candidate and
-label; ``reviewed`` makes one from exact formats) outside the held-out fold, at most
+label; ``reviewed`` makes one from formats and from evidence of harmlessness, and
+leaves all other candidates without a label) outside the held-out fold, at most
 ``MAX_FINDINGS`` of them, the first by hash; all candidates of all texts are scored.
 
 Only DataFrame functions and Spark's own forest. Defined results: null and
@@ -39,12 +43,32 @@ FOLDS = 5
 RUN = r"[A-Za-z0-9+/_.@:\-]{%d,}" % MIN_LENGTH
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 CREDENTIAL = r"(?i)passw|passwd|pwd|token|secret|api|key|auth|credential|bearer"
-# Fixed formats that a reviewer takes as secrets, key and value.
-FORMATS = (
+# Formats that a reviewer takes as secrets, without regard to case: those with
+# their provider's mark, and those that need a credential's name beside them.
+MARKED = (
     r"AKIA[0-9A-Z]{16}",
-    r"[0-9a-f]{40}",
+    r"gh[pousr]_[0-9A-Z]{20,}",
+    r"xox[a-z]-[0-9A-Z\-]{10,}",
+    r"eyJ[0-9A-Z_\-]{8,}\.[0-9A-Z_\-]+\.[0-9A-Z_\-]*",
+)
+SHAPED = (
     r"[0-9a-f]{18}",
+    r"[0-9a-f]{32}",
+    r"[0-9a-f]{40}",
+    r"[0-9a-f]{64}",
+)
+# What a reviewer takes as harmless: words of letters in one case, addresses,
+# dates and plain numbers.
+_MARKS = r"[+/_.@:\-]"
+_WORD = r"([A-Z]?[a-z]+|[A-Z]+)"
+HARMLESS = (
+    rf"{_MARKS}*{_WORD}({_MARKS}+{_WORD})*{_MARKS}*",
+    r"(?i)[0-9a-z_.+\-]+@[0-9a-z\-]+(\.[0-9a-z\-]+)+\.?",
+    r"(?i)[a-z]{2,8}://[0-9a-z\-]+(\.[0-9a-z\-]+)+(:[0-9]+)?(/[a-z_.\-]*)*",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.+\-]+Z?",
+    r"[0-9+/.:\-]+",
 )
+ASSIGN = r"^(:?=|:)$"
 _BASE = ["length", "digits", "capitals", "marks", "distinct", "changes", "pairs", "covered",
          "path_test", "path_length", "key_credential", "near_credential", "near_assigns"]
 
@@ -53,12 +77,45 @@ def words_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), GAP)
 
 
+_NAMED = r"^([^:=]*):(?!//)"
+
+
+def key_of(word: Column) -> Column:
+    named = F.regexp_extract(word, _NAMED, 1)
+    return F.when(named.rlike(CREDENTIAL), named).otherwise(
+        F.when(word.contains("="), F.substring_index(word, "=", 1)).otherwise("")
+    )
+
+
+def given(word: Column, before: Column, second: Column) -> Column:
+    """The value that ``word`` gives to a credential's name (in the word or before
+    it), without quotes and brackets at its ends; null if none."""
+    inside = key_of(word).rlike(CREDENTIAL)
+    ahead = (
+        (before.rlike(ASSIGN) & second.rlike(CREDENTIAL))
+        | (before.rlike("[:=]$") & before.rlike(CREDENTIAL))
+        | (word.rlike("^:?[:=]") & before.rlike(CREDENTIAL))
+    )
+    start = F.when(F.regexp_extract(word, _NAMED, 1).rlike(CREDENTIAL), F.regexp_replace(word, _NAMED + "=?", ""))
+    value = F.when(inside, F.coalesce(start, F.regexp_replace(word, "^[^=]*=", ""))).when(
+        ahead, F.regexp_replace(word, "^:?[:=]", "")
+    )
+    value = F.regexp_replace(value, r"""^["'`(\[{<]+|["'`)\]}>,;]+$""", "")
+    return F.when(~value.rlike("^[:=]*$"), value)
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """(_id, path, at, word, before, second, candidate, key): one row per candidate."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     words = F.col("_words")
     split = docs.select(F.col(id_col).alias("_id"), path.alias("path"), words_of(F.col(text_col)).alias("_words"))
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) >= MIN_LENGTH)
+    marked = lambda w: w.contains("=") | w.contains(":")
+    at = F.filter(
+        F.sequence(F.lit(0), F.size(words) - 1),
+        lambda i: (F.length(F.get(words, i)) >= MIN_LENGTH)
+        | marked(F.get(words, i))
+        | F.coalesce(marked(F.get(words, i - 1)), F.lit(False)),
+    )
     parts = F.transform(
         at,
         lambda i: F.struct(
@@ -69,9 +126,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
         ),
     )
     rows = split.select("_id", "path", F.explode(parts).alias("x")).select("_id", "path", "x.*")
-    return rows.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1))).withColumn(
-        "key", F.when(F.col("word").contains("="), F.substring_index("word", "=", 1)).otherwise("")
+    rows = rows.withColumn("_given", given(F.col("word"), F.col("before"), F.col("second")))
+    short = F.col("_given").isNotNull() & ~F.col("_given").rlike(RUN)
+    found = F.concat(
+        F.regexp_extract_all("word", F.lit(f"({RUN})"), 1),
+        F.when(short, F.array("_given")).otherwise(F.array().cast("array<string>")),
     )
+    return rows.withColumn("candidate", F.explode(found)).withColumn("key", key_of(F.col("word"))).drop("_given")
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> DataFrame:
@@ -111,7 +172,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     table = F.col("_pairs")
     n = len(ALPHABET) + 1
     pairs = F.aggregate(
-        F.sequence(F.lit(1), F.length(c) - 1),
+        F.slice(F.sequence(F.lit(1), F.length(c)), 1, F.length(c) - 1),
         F.lit(0.0),
         lambda acc, i: acc
         + F.element_at(
@@ -135,7 +196,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         F.length("path").cast("double").alias("path_length"),
         F.col("key").rlike(CREDENTIAL).cast("double").alias("key_credential"),
         near.rlike(CREDENTIAL).cast("double").alias("near_credential"),
-        (F.col("key").rlike(".") | F.col("before").rlike("^(:?=|:)$|[:=]$")).cast("double").alias("near_assigns"),
+        (F.col("key").rlike(".") | F.col("before").rlike(ASSIGN + "|[:=]$")).cast("double").alias("near_assigns"),
     )
     runs = base.select(
         "candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("([a-z]{3,20})"), 1)).alias("w")
@@ -161,13 +222,19 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def reviewed(found: DataFrame) -> DataFrame:
-    """Labelled findings from exact formats: a whole candidate of a fixed format that
-    starts with its provider's mark or that a credential's name is given to is a
-    secret, any other candidate is a false positive."""
+    """Labelled findings: a whole candidate of a format that has its provider's mark,
+    or of another format beside a credential's name, is a secret; words, addresses,
+    dates and plain numbers that are not given to a credential's name are false
+    positives. Any other candidate has no label (null): an unknown shape is no
+    evidence of either."""
     named = F.col("key").rlike(CREDENTIAL) | F.concat_ws(" ", "before", "second").rlike(CREDENTIAL)
-    shaped = F.col("candidate").rlike("^(" + "|".join(FORMATS[1:]) + ")$")
-    own = F.col("candidate").rlike("^" + FORMATS[0] + "$")
-    return found.withColumn("label", F.when(own | (shaped & named), 1.0).otherwise(0.0))
+    # a run takes in the name before a ":"
+    value = F.when(named, F.regexp_replace("candidate", "^[^:]*:(?!//)", "")).otherwise(F.col("candidate"))
+    one_of = lambda c, formats: c.rlike("^(" + "|".join(formats) + ")$")
+    secret = one_of(value, ["(?i)" + f for f in MARKED]) | (one_of(value, ["(?i)" + f for f in SHAPED]) & named)
+    assigned = given(F.col("word"), F.col("before"), F.col("second")).isNotNull()
+    harmless = one_of(F.col("candidate"), HARMLESS) & ~assigned
+    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
 
 def held_out(id_col: str, folds: int = FOLDS) -> Column:
