@@ -8,9 +8,13 @@ logistic function of
     b + sum w_i + 1/2 * sum_f ((sum v_if)^2 - sum v_if^2)
 
 so pairs of terms that only together make a text toxic (an insult beside a
-group's name) get weight of their own, which additive weights miss. The sums
-are divided by fixed powers of the number of terms only in the pair part, so
-long texts don't drown a few telling terms and their pairs stay bounded.
+group's name) get weight of their own, which additive weights miss. Nothing is
+divided by the number of terms: a pair weighs the same in a text of 2,000 words as
+in one of ten. So that the very many pairs of a long text don't drown the telling
+ones, only terms with evidence in the training rows have factors: those of
+a pair whose sum of residuals (of the additive weights) over the texts with both
+is beyond the L1 term and beyond ``deviations`` standard deviations. All pairs of terms
+whose own residuals allow that are looked at. The factors of all others are zero.
 
 Training: one task fits the machine by Adam on at most ``max_rows`` labelled
 rows and ``max_chars`` code points of them in all, the first in the order of
@@ -72,49 +76,106 @@ class Machine:
         v = self.v[at]
         total = v.sum(0)
         pairs = 0.5 * float(total @ total - (v * v).sum())
-        return self.bias + float(self.w[at].sum()) + pairs / len(at)
+        return self.bias + float(self.w[at].sum()) + pairs
 
     def score(self, text: bytes) -> float:
         m = self.margin(terms(text, len(self.w), self.stem))
         return float(1 / (1 + np.exp(-np.clip(m, -60, 60))))
 
 
+def telling(x: list[np.ndarray], r: np.ndarray, buckets: int, least: float, deviations: float, block=2048):
+    """Places of the terms that are in a pair with evidence, by the residuals ``r`` of the
+    rows: the sum over the rows with both is beyond ``least`` and ``deviations``."""
+    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
+    place = np.concatenate([*x, np.zeros(0, np.int64)])
+    sums = lambda part: np.bincount(place, part[row], buckets)
+    # no pair's sum is beyond what either term's residuals of one sign add up to
+    most = np.maximum(sums(np.maximum(r, 0)), sums(np.maximum(-r, 0)))
+    spread = np.sqrt(sums(r * r))
+    able = np.flatnonzero(most > least)
+    number = np.full(buckets, -1)
+    number[able] = np.arange(len(able))
+    at = number[place]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+
+    def dense(start):
+        lo, hi = np.searchsorted(at, [start, start + block])
+        out = np.zeros((len(x), min(block, len(able) - start)), np.float32)
+        out[row[lo:hi], at[lo:hi] - start] = 1
+        return out
+
+    found = np.zeros(len(able), bool)
+    for i in range(0, len(able), block):
+        left = (dense(i) * r[:, None].astype(np.float32)).T
+        a = spread[able[i : i + block], None]
+        for j in range(i, len(able), block):
+            both = np.abs(left @ dense(j))
+            if i == j:
+                np.fill_diagonal(both, 0)
+            passed = both > np.maximum(least, deviations * np.minimum(a, spread[able[None, j : j + block]]))
+            found[i : i + block] |= passed.any(1)
+            found[j : j + block] |= passed.any(0)
+    return able[found]
+
+
 def fit(
     texts: list[bytes], labels, buckets=BUCKETS, rank=RANK, stem=STEM, epochs=EPOCHS, seed=7,
-    alpha=1.0, l1=6.0, l2=0.1, pair_rate=0.02, pair_l2=1e-3,
+    alpha=1.0, l1=6.0, l2=0.1, pair_rate=0.05, pair_l2=1e-3, deviations=6.0,
 ) -> Machine:
     """Additive weights by follow-the-regularised-leader with an L1 term, which
-    keeps the many terms without evidence at zero; pair factors by AdaGrad."""
+    keeps the many terms without evidence at zero; pair factors by AdaGrad. The residuals
+    that tell which terms have factors come from additive weights of the other half
+    of the rows, so that weights that fit their own rows don't hide a pair."""
     rng = np.random.default_rng(seed)
     x = [terms(t, buckets, stem) for t in texts]
     y = np.asarray(labels, np.float64)
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    bias = float(np.log(p / (1 - p)))
-    z, n, w = np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
-    v, gv = rng.normal(0, 0.05, (buckets, rank)), np.zeros((buckets, rank))
-    for _ in range(epochs):
-        for k in rng.permutation(len(x)):
-            at = x[k]
-            if not len(at):
-                continue
-            va = v[at]
-            total = va.sum(0)
-            m = bias + w[at].sum() + 0.5 * (total @ total - (va * va).sum()) / len(at)
-            g = 1 / (1 + np.exp(-np.clip(m, -60, 60))) - y[k]
-            bias -= 0.002 * g
-            if abs(g) < 1e-3:
-                continue
-            before = n[at]
-            after = before + g * g
-            z[at] += g - (np.sqrt(after) - np.sqrt(before)) / alpha * w[at]
-            n[at] = after
-            za = z[at]
-            w[at] = np.where(
-                np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((1 + np.sqrt(after)) / alpha + l2)
-            )
-            dv = g * (total - va) / len(at) + pair_l2 * va
-            gv[at] += dv * dv
-            v[at] = va - pair_rate * dv / np.sqrt(gv[at] + 1e-8)
+    start = float(np.log(p / (1 - p)))
+    logistic = lambda m: 1 / (1 + np.exp(-np.clip(m, -60, 60)))
+
+    def learn(rows, has):
+        bias, z, n, w = start, np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
+        v, gv = np.zeros((buckets, rank)), np.zeros((buckets, rank))
+        v[has] = rng.normal(0, 0.05, (int(has.sum()), rank))
+        paired = {k: x[k][has[x[k]]] for k in rows}
+        for _ in range(epochs):
+            for k in rng.permutation(rows):
+                at, two = x[k], paired[k]
+                if not len(at):
+                    continue
+                m = bias + w[at].sum()
+                if len(two) > 1:
+                    va = v[two]
+                    total = va.sum(0)
+                    m += 0.5 * (total @ total - (va * va).sum())
+                g = logistic(m) - y[k]
+                bias -= 0.002 * g
+                if abs(g) < 1e-3:
+                    continue
+                before = n[at]
+                after = before + g * g
+                z[at] += g - (np.sqrt(after) - np.sqrt(before)) / alpha * w[at]
+                n[at] = after
+                za = z[at]
+                w[at] = np.where(
+                    np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((1 + np.sqrt(after)) / alpha + l2)
+                )
+                if len(two) > 1:
+                    dv = g * (total - va) + pair_l2 * va
+                    gv[two] += dv * dv
+                    v[two] = va - pair_rate * dv / np.sqrt(gv[two] + 1e-8)
+        return bias, w, v
+
+    nothing, order = np.zeros(buckets, bool), rng.permutation(len(x))
+    r = np.zeros(len(x))
+    for half, other in ((order[::2], order[1::2]), (order[1::2], order[::2])):
+        bias, w, _ = learn(half, nothing)
+        r[other] = [y[k] - logistic(bias + w[x[k]].sum()) for k in other]
+    has = nothing.copy()
+    has[telling(x, r, buckets, l1, deviations)] = True
+    bias, w, v = learn(np.arange(len(x)), has)
     return Machine(bias, w.astype(np.float32), v.astype(np.float32), stem)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from souk.llm import registry, toxicity
@@ -50,6 +51,24 @@ def test_pairs_that_only_together_are_toxic():
     assert np.mean(right) >= 0.95
 
 
+@pytest.mark.parametrize("length", [100, 300, 2000])
+def test_pairs_keep_their_weight_on_long_texts(length):
+    """Production settings; the pair's words stand anywhere in the text."""
+    rng = np.random.default_rng(4)
+    texts, labels = [], []
+    for _ in range(1700):
+        words = [f"w{k}x" for k in rng.zipf(1.3, length) % (10 * length)]
+        insult, group = rng.integers(0, 2, 2)
+        words += ["insulting"] * insult + ["harmless"] * (1 - insult)
+        words += ["groupname"] * group + ["nobody"] * (1 - group)
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        labels.append(int(insult == group))
+    machine = toxicity.fit(texts[:1400], labels[:1400])
+    right = [(machine.score(t) >= 0.5) == y for t, y in zip(texts[1400:], labels[1400:])]
+    assert np.mean(right) >= 0.95
+
+
 def test_odd_rows_and_labels(spark, odd, no_docs):
     labels = spark.createDataFrame(
         [(20, 1, 1), (20, 1, 0), (21, 1, 0), (22, 0, None), (None, 1, 1), (23, 1, 1), (24, 1, 0), (26, 0, 0)], LABELS
