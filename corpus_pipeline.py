@@ -9,7 +9,8 @@ A stage takes (spark, docs, sf_dir). All but the last return the columns of
 3. SimHash near-dedup: one document of each group stays, that of the smallest id
    (a repeated id: the first by hash);
 4. mixing: each document is repeated as often as the mix takes it;
-5. byte-level BPE: ids of every text, and their digests.
+5. byte-level BPE: ids of every text, decoded again; digests of the ids and of the
+   decoded bytes.
 
 Null ids and texts, empty texts, repeated rows and empty tables go through every
 stage as the operators define.
@@ -83,14 +84,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256)."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)."""
     shared = bpe.vocabulary(spark, VOCABULARY, public_tokenizers.PATTERN)
     decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return bpe.encode(docs, shared).select(
+    return bpe.decode(bpe.encode(docs, shared), shared).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -71,6 +72,14 @@ def test_mixed_copies_are_encoded(stages):
     assert Counter(r["doc_id"] for r in encoded.collect()) == Counter(r["doc_id"] for r in mixed.collect())
 
 
+def test_decoded_bytes_are_the_texts(spark, odd):
+    out = corpus_pipeline.bpe_stage(spark, odd, SF)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = Counter((r["doc_id"], r["decoded_sha256"]) for r in out.collect())
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert got == Counter((r["doc_id"], sha(r["text"])) for r in odd.collect())
+
+
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF_ORACLE)
     cols = ["doc_id", "n_tokens", "ids_sha256"]
