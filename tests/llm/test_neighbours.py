@@ -76,3 +76,17 @@ def test_parts_are_balanced():
     assert np.bincount(label).max() - np.bincount(label).min() <= 2
     cut = (label[graph] != label[:, None]).mean()
     assert cut < 0.7  # 0.875 by chance
+
+
+def test_recall_with_several_parts_and_fitted_probes(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.6 * rng.normal(size=(3000, 12))).astype(np.float32)
+    rows = {i: v.tolist() for i, v in enumerate(x, 1)}
+    _, probes = neighbours.fit(x.astype(np.float64), 16, 20, neighbours.TARGET_RECALL)
+    assert 1 < probes < 16
+    table = spark.createDataFrame([(i, v, "", 0) for i, v in rows.items()], SCHEMA)
+    got, want = found(neighbours.search(table, F.col("_id") % 20 == 0, entries_per_part=188)), brute(rows)
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    print("recall", hits / (20 * len(want)), "probes", probes)
+    assert hits >= 0.97 * 20 * len(want)
