@@ -104,5 +104,13 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches, rows: int = 256):
+    """The record batches a few rows at a time: a batch may hold many long texts,
+    and what a task turns into Python objects at once should not grow with it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

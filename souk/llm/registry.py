@@ -20,6 +20,7 @@ from souk.llm import (
     simhash,
     substrings,
     toxicity,
+    whitening,
 )
 from souk.llm.common import sha256_of
 
@@ -73,6 +74,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": op1_bpe,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
+    "op13_whitening": op13_whitening,
 }
 
 # The other operators have no SQL form in the comparing engine (its functions
