@@ -15,6 +15,8 @@ from souk.llm import (
     lines,
     mixing,
     neighbours,
+    packing,
+    resampling,
     secrets,
     sharding,
     simhash,
@@ -74,6 +76,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = packing.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), shared)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
+    "op11_packing": op11_packing,
+    "op12_resampling": op12_resampling,
     "op13_whitening": op13_whitening,
 }
 
@@ -100,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op10_substrings": substrings.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
