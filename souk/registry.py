@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from souk import oracle as sql
 from souk.functions.canonical import canonical
-from souk.operators import analysis, link, orders, products, reviews, segments, sellers
+from souk.operators import analysis, link, orders, products, reviews, roundtrip, segments, sellers
 from souk.sources.catalog import Marketplace
 from souk.sources.star import load_star_marketplace
 
@@ -57,8 +57,36 @@ BASKET_FEATURES = (
     "wait_time", "delay_vs_expected", "number_of_sellers", "price", "freight_value", "review_score",
 )
 
+# Reviews with the messages and times that ``roundtrip`` writes.
+WORDED = """(SELECT review_id, order_id, review_score, CAST(NULL AS VARCHAR) AS review_comment_title,
+    CASE review_id % 3 WHEN 0 THEN coalesce(review_comment_message, '') || chr(10) || '"' || review_id
+      || '", he said,' || chr(13) || chr(10) || chr(10) || 'then ""nothing'
+    WHEN 1 THEN review_comment_message END AS review_comment_message,
+    TIMESTAMP '2018-01-01 00:00:00' + to_hours(CAST(review_id % 1000 AS INTEGER)) AS review_answer_timestamp
+  FROM m_reviews)"""
+
 QUERIES: dict[str, Query] = {
     # sources and link table
+    "csv_reviews": Query(
+        roundtrip.reviews_through_csv,
+        f"""SELECT CAST(review_id AS VARCHAR) AS review_id, CAST(order_id AS VARCHAR) AS order_id,
+  review_score, review_comment_title, review_comment_message, review_answer_timestamp FROM {WORDED}""",
+    ),
+    "csv_rejects": Query(
+        roundtrip.rejected_reviews,
+        f"""SELECT 'review_score' AS "column", 'value' AS reason, 'score ' || review_id AS raw FROM {WORDED} WHERE review_id % 50 = 3
+UNION ALL
+SELECT 'review_creation_date', 'value', 'day ' || review_id FROM {WORDED} WHERE review_id % 70 = 6
+UNION ALL
+SELECT NULL, 'number of fields', concat_ws(',', review_id, order_id,
+    CASE WHEN review_id % 50 = 3 THEN 'score ' || review_id ELSE coalesce(CAST(review_score AS VARCHAR), '') END, '',
+    CASE WHEN review_comment_message IS NULL THEN ''
+      WHEN regexp_matches(review_comment_message, '[",\n\r]')
+      THEN '"' || replace(review_comment_message, '"', '""') || '"' ELSE review_comment_message END,
+    CASE WHEN review_id % 70 = 6 THEN 'day ' || review_id ELSE '' END,
+    strftime(review_answer_timestamp, '%Y-%m-%d %H:%M:%S'), 'one more')
+FROM {WORDED} WHERE review_id % 90 = 4""",
+    ),
     "link_table": Query(link.link_table, _select("link")),
     "link_table_legacy": Query(
         lambda m: link.link_table(m, legacy_order=True),
