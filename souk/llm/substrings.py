@@ -30,8 +30,6 @@ rows that repeat an id with the same text keep and lose the same words (equal
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +38,9 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import NO_ID, raw, staged
 
+# A document: its id, and 128 bits of its text, which tell apart rows that
+# share an id (or have none).
+OWN = ["_id", "_mark", "_mark2"]
 LENGTH = 20
 GRAM = 6
 _BLOCK = 1 << 17  # words hashed at once
@@ -116,81 +117,79 @@ def _longs(parts: list) -> pa.Array:
     return pa.array(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64))
 
 
-def _text_mark(text: bytes) -> int:
-    """Tells apart rows that share an id."""
-    return zlib.crc32(text)
+def _own(batch: pa.RecordBatch, rows: list) -> list[pa.Array]:
+    """The ``OWN`` columns of the rows with these numbers."""
+    at = _longs(rows)
+    return [batch.column(c).take(at) for c in OWN]
+
+
+_OWN_SCHEMA = ", ".join(f"{c} long" for c in OWN)
 
 
 def _segments(docs: DataFrame, length: int, gram: int, seeds_only: bool) -> DataFrame:
     def run(batches):
         scan = Scanner(length, gram)
         for batch in batches:
-            seeds, classes, ids, marks, starts, counts = [], [], [], [], [], []
-            for i, text in zip(batch.column("_id").to_pylist(), raw(batch.column("_text"))):
+            seeds, classes, starts, counts, rows = [], [], [], [], []
+            for row, text in enumerate(raw(batch.column("_text"))):
                 for seed, own, a, n in scan.segments(text.split()):
                     seeds.append(seed)
                     if not seeds_only:
                         classes.append(own)
-                        ids.append(np.full(len(a), i, np.int64))
-                        marks.append(np.full(len(a), _text_mark(text), np.int64))
                         starts.append(a)
                         counts.append(n)
+                        rows.append(np.full(len(a), row, np.int64))
             if seeds_only:
                 yield pa.RecordBatch.from_arrays([_signed(seeds)], names=["h"])
                 continue
             yield pa.RecordBatch.from_arrays(
-                [_signed(seeds), _signed(classes), *map(_longs, (ids, marks, starts, counts))],
-                names=["h", "g", "_id", "_mark", "a", "n"],
+                [_signed(seeds), _signed(classes), *_own(batch, rows), _longs(starts), _longs(counts)],
+                names=["h", "g", *OWN, "a", "n"],
             )
 
-    schema = "h long" if seeds_only else "h long, g long, _id long, _mark long, a long, n long"
-    return docs.select("_id", "_text").mapInArrow(run, schema)
+    schema = "h long" if seeds_only else f"h long, g long, {_OWN_SCHEMA}, a long, n long"
+    return docs.select(*([] if seeds_only else OWN), "_text").mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, _mark, a, n): every window that is a repeat, as ranges of window
-    starts. ``docs`` has (_id, _text), both without nulls."""
+    """(``OWN``, a, n): every window that is a repeat, as ranges of window
+    starts. ``docs`` has (``OWN``, _text), none null."""
     counted = _segments(docs, length, gram, seeds_only=True).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     again = staged(counted.filter("c > 1").select("h"), "substrings-seeds")
     found = staged(
         _segments(docs, length, gram, seeds_only=False).join(again, "h"), "substrings-segments"
     )
     classes = staged(
-        found.groupBy("h", "g").agg(F.min(F.struct("_id", "a", "_mark", "n")).alias("first")),
+        found.groupBy("h", "g").agg(F.min(F.struct("_id", "a", "_mark", "_mark2", "n")).alias("first")),
         "substrings-classes",
     )
     place, first = F.struct("_id", "a"), F.struct("first._id", "first.a")
-    whole = found.join(classes, ["h", "g"]).filter(place != first).select("_id", "_mark", "a", "n")
+    whole = found.join(classes, ["h", "g"]).filter(place != first).select(*OWN, "a", "n")
 
     several = staged(
         classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"),
         "substrings-several",
     )
-    wanted = classes.join(several, "h").select("first.*").groupBy("_id", "_mark").agg(
+    wanted = classes.join(several, "h").select("first.*").groupBy(*OWN).agg(
         F.collect_list(F.struct("a", "n")).alias("wanted")  # segments of one text
     )
 
     def run(batches):
         scan = Scanner(length, gram)
         for batch in batches:
-            seeds, own, ids, marks, starts = [], [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("_id", "_mark", "wanted")]
-            for i, mark, want, text in zip(*columns, raw(batch.column("_text"))):
+            seeds, own, starts, rows = [], [], [], []
+            for row, (want, text) in enumerate(zip(batch.column("wanted").to_pylist(), raw(batch.column("_text")))):
                 for seed, w, a in scan.windows(text.split(), [(x["a"], x["n"]) for x in want]):
                     seeds.append(seed)
                     own.append(w)
-                    ids.append(np.full(len(a), i, np.int64))
-                    marks.append(np.full(len(a), mark, np.int64))
                     starts.append(a)
+                    rows.append(np.full(len(a), row, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [_signed(seeds), _signed(own), *map(_longs, (ids, marks, starts))],
-                names=["h", "w", "_id", "_mark", "a"],
+                [_signed(seeds), _signed(own), *_own(batch, rows), _longs(starts)], names=["h", "w", *OWN, "a"]
             )
 
     windows = staged(
-        _marked(docs)
-        .join(wanted, ["_id", "_mark"])
-        .mapInArrow(run, "h long, w long, _id long, _mark long, a long"),
+        docs.join(wanted, OWN).mapInArrow(run, f"h long, w long, {_OWN_SCHEMA}, a long"),
         "substrings-windows",
     )
     firsts = staged(
@@ -199,15 +198,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         "substrings-firsts",
     )
     single = windows.join(firsts, ["h", "w"]).filter(place != F.col("first")).select(
-        "_id", "_mark", "a", F.lit(1).cast("long").alias("n")
+        *OWN, "a", F.lit(1).cast("long").alias("n")
     )
     return whole.unionByName(single)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select("_id", F.crc32(F.col("_text").cast("binary")).alias("_mark"), "_text")
-
-
 def dedup_substrings(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -219,11 +214,14 @@ def dedup_substrings(
     that stay by one space."""
     if not 1 <= gram <= length or length - gram >= 64:
         raise ValueError("1 <= gram <= length and length - gram < 64")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+        F.xxhash64(text).alias("_mark"),
+        F.xxhash64(F.lit(1), text).alias("_mark2"),
+        text.alias("_text"),
     )
-    ranges = repeats(rows, length, gram).groupBy("_id", "_mark").agg(
+    ranges = repeats(rows, length, gram).groupBy(*OWN).agg(
         F.collect_list(F.struct("a", "n")).alias("gone")  # repeats of one text
     )
 
@@ -252,7 +250,7 @@ def dedup_substrings(
                 names=["_id", "n_words", "n_removed", "kept"],
             )
 
-    out = _marked(rows).join(ranges, ["_id", "_mark"], "left").mapInArrow(
+    out = rows.join(ranges, OWN, "left").mapInArrow(
         run, "_id long, n_words long, n_removed long, kept string"
     )
     own = F.when(F.col("_id") != F.lit(NO_ID), F.col("_id"))

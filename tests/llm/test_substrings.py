@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 
 import pytest
@@ -44,6 +45,31 @@ def test_blocks_of_a_long_text(spark, monkeypatch):
     assert Counter(as_rows(substrings.dedup_substrings(docs))) == brute(pairs(docs))
 
 
+def equal_crc(make):
+    """Two different texts of ``make(i)`` with equal CRC-32."""
+    seen = {}
+    for i in range(10**6):
+        text = make(i)
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            return other, text
+
+
+def test_texts_of_one_id_with_equal_checksums(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    short, long = equal_crc(lambda i: f"s{i}" if i % 2 else f"{passage} e{i} {passage} {i * 7919}")
+    one, two = equal_crc(lambda i: f"{i} {passage} {i * 31}")
+    docs = [(1, passage, "a"), (5, short, "a"), (5, long, "a"), (None, one, "a"), (None, two, "b"), (None, short, "b")]
+    docs = make_docs(spark, docs)
+    assert Counter(as_rows(substrings.dedup_substrings(docs))) == brute(pairs(docs))
+
+
+def test_a_third_of_the_rows_without_an_id(spark):
+    rows = [(r["doc_id"] if i % 3 else None, r["text"], "a") for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").collect())]
+    docs = make_docs(spark, rows)
+    assert Counter(as_rows(substrings.dedup_substrings(docs))) == brute(pairs(docs))
+
+
 def test_query(spark, documents):
     want = Counter()
     for (i, n, d, kept), c in brute(pairs(documents)).items():
