@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import WORD, positions
+from souk.llm.common import WORD, positions, staged
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -85,7 +85,7 @@ def mix(
     seed: str = SEED,
 ) -> DataFrame:
     """(id, size, source_size, target, copies, taken[, carry]) for every row."""
-    rows = docs.select(
+    columns = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).isNull().alias("no_source"),
@@ -93,6 +93,7 @@ def mix(
         F.xxhash64(text_col).alias("_hash"),
         *([F.col(carry).alias("_carry")] if carry else []),
     )
+    rows = staged(columns, "mix-sizes")  # texts are read once
     placed = positions(
         rows, [F.col(c).asc() for c in ("no_source", "source", "size", "_id", "_hash")], "mix"
     )
@@ -117,6 +118,8 @@ def mix(
     shares = shares.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).withColumn(
         "_offset", offset.cast("double") / F.lit(4294967296.0)
     )
+    # written, so that its size is known: few sources join without a shuffle
+    shares = staged(shares, "mix-shares")
     place = F.col("_pos") - F.col("_first")
     upto = F.floor(F.col("_offset") + F.col("_rate") * (place + 1).cast("double"))
     before = F.floor(F.col("_offset") + F.col("_rate") * place.cast("double"))
