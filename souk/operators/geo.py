@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.plans.skew import salted_join
+from souk.plans.skew import HotKeys, salted_join
 from souk.sources.catalog import GEO_ORDER
 
 LAT, LNG = "geolocation_lat", "geolocation_lng"
@@ -31,7 +31,7 @@ def first_point(geolocation: DataFrame, key: str, order: str = GEO_ORDER) -> Dat
 
 
 def locate(
-    entities: DataFrame, zip_col: str, geolocation: DataFrame
+    entities: DataFrame, zip_col: str, geolocation: DataFrame, hot: HotKeys | None = None
 ) -> DataFrame:
     """``entities`` left-joined to the first point of their zip code (a zip
     holding a large share of the entities is split over several tasks)."""
@@ -39,4 +39,4 @@ def locate(
         "geolocation_zip_code_prefix", zip_col
     )
     spread = [c for c in entities.columns if c != zip_col]
-    return salted_join(entities, points, zip_col, "left", spread_by=spread, other_unique=True)
+    return salted_join(entities, points, zip_col, "left", spread_by=spread, other_unique=True, hot=hot)

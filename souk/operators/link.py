@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from souk.plans.skew import salted_join
 from souk.sources.catalog import Marketplace
@@ -20,40 +19,21 @@ def link_table(m: Marketplace, legacy_order: bool = False) -> DataFrame:
     any of the three tables, so an order fans out to
     max(reviews, 1) * max(items, 1) rows.
 
-    A full outer sort-merge join sends all rows of an order to one task.
-    It is written as a left join plus an anti join: the many-rows side
-    (reviews, then items) is the preserved side of a salted left join, so
-    an order holding a large share of the rows is split over several tasks,
-    and the anti joins only test the distinct order ids of that side. Orders
-    with very many reviews are split for the items' join too.
+    Each table is read once (and the two many-rows tables once more for their
+    hot keys). A full outer sort-merge join sends all rows of an order to one
+    task, so orders with very many reviews, or items, are split over several
+    tasks on that side and their few rows of the other copied to each; of a
+    copied row only matches stay, since a split order has rows to match.
     """
     orders = m.orders.select("order_id", "customer_id")
     reviews = m.order_reviews.select("order_id", "review_id")
     items = m.order_items.select("order_id", "product_id", "seller_id", "order_item_id")
-
-    def ids(df: DataFrame) -> DataFrame:
-        return df.select("order_id").distinct()
-
-    # orders FULL JOIN reviews, as reviews LEFT JOIN orders + orders without reviews
-    head = salted_join(reviews, orders, "order_id", "left", spread_by=["review_id"]).unionByName(
-        orders.join(ids(reviews), "order_id", "left_anti").withColumn(
-            "review_id", F.lit(None).cast(reviews.schema["review_id"].dataType)
-        )
-    )
-    # (...) FULL JOIN items, as items LEFT JOIN head + head rows without items
-    no_items = salted_join(
-        head, ids(items), "order_id", "left_anti", spread_by=["review_id", "customer_id"]
-    )
+    many_reviews = m.hot("order_reviews", "order_id")
+    head = salted_join(reviews, orders, "order_id", "full", spread_by=["review_id"], hot=many_reviews)
     link = salted_join(
-        items, head, "order_id", "left",
+        items, head, "order_id", "full",
         spread_by=["product_id", "seller_id", "order_item_id"],
         other_spread_by=["review_id", "customer_id"],
-    ).drop("order_item_id").unionByName(
-        no_items.withColumns(
-            {
-                "product_id": F.lit(None).cast(items.schema["product_id"].dataType),
-                "seller_id": F.lit(None).cast(items.schema["seller_id"].dataType),
-            }
-        )
-    )
+        hot=m.hot("order_items", "order_id"), other_hot=many_reviews,
+    )
     return link.select(*(LEGACY_LINK_COLUMNS if legacy_order else LINK_COLUMNS))

@@ -113,11 +113,11 @@ def seller_customer_distance(m: Marketplace) -> DataFrame:
         return df.dropna(how="any", subset=cols)
 
     sellers = known(
-        locate(m.sellers, "seller_zip_code_prefix", m.geolocation),
+        locate(m.sellers, "seller_zip_code_prefix", m.geolocation, m.hot("sellers", "seller_zip_code_prefix")),
         ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state", LAT, LNG],
     ).select("seller_id", F.col(LAT).alias("lat_s"), F.col(LNG).alias("lng_s"))
     customers = known(
-        locate(m.customers, "customer_zip_code_prefix", m.geolocation),
+        locate(m.customers, "customer_zip_code_prefix", m.geolocation, m.hot("customers", "customer_zip_code_prefix")),
         ["customer_id", "customer_zip_code_prefix", "customer_city", "customer_state", LAT, LNG],
     ).select("customer_id", F.col(LAT).alias("lat_c"), F.col(LNG).alias("lng_c"))
 
@@ -126,18 +126,19 @@ def seller_customer_distance(m: Marketplace) -> DataFrame:
     )
     orders = salted_join(
         m.orders.select("order_id", "customer_id").join(reviewed, "order_id", "left_semi"),
-        customers, "customer_id", spread_by=["order_id"],
+        customers, "customer_id", spread_by=["order_id"], hot=m.hot("orders", "customer_id"),
     )
     items = salted_join(
         m.order_items.filter(F.col("product_id").isNotNull()).select(
             "order_id", "seller_id", "order_item_id", "product_id"
         ),
         sellers, "seller_id", spread_by=["order_id", "order_item_id", "product_id"],
+        hot=m.hot("order_items", "seller_id"),
     )
     dist = haversine_km(F.col("lng_s"), F.col("lat_s"), F.col("lng_c"), F.col("lat_c"))
     return (
         salted_join(items, orders, "order_id",
-                    spread_by=["seller_id", "order_item_id", "product_id"])
+                    spread_by=["seller_id", "order_item_id", "product_id"], hot=m.hot("order_items", "order_id"))
         .groupBy("order_id")
         .agg(F.avg(dist).alias("distance_seller_customer"))
     )
@@ -172,5 +173,6 @@ def order_features(
         score_flag(score, 1).alias("dim_is_one_star"),
         score,
     )
-    mart = salted_join(reviews, per_order, "order_id", spread_by=["review_id", "review_score"])
+    mart = salted_join(reviews, per_order, "order_id", spread_by=["review_id", "review_score"],
+                       hot=m.hot("order_reviews", "order_id"))
     return mart.select(*cols).dropna(how="any")

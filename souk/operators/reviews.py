@@ -14,7 +14,7 @@ from souk.sources.catalog import Marketplace
 
 
 def order_review_stats(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
-    """Per order: number of review rows, one/five-star counts, score sum and
+    """Per order: number of review rows, one/two/three/five-star counts, score sum and
     count of non-NULL scores, and the summed review cost for sellers and for
     products.
 
@@ -31,6 +31,8 @@ def order_review_stats(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFram
         .agg(
             F.count(F.lit(1)).alias("n_reviews"),
             F.sum(score_flag(score, 1)).alias("n_one_star"),
+            F.sum(score_flag(score, 2)).alias("n_two_star"),
+            F.sum(score_flag(score, 3)).alias("n_three_star"),
             F.sum(score_flag(score, 5)).alias("n_five_star"),
             F.sum(score).alias("score_sum"),
             F.count(score).alias("n_scored"),
@@ -95,7 +97,8 @@ def main_product_category(m: Marketplace) -> DataFrame:
         F.col("product_category_name").isNotNull()
     )
     per_cat = (
-        salted_join(items, cats, "product_id", spread_by=["order_id", "order_item_id", "seller_id"])
+        salted_join(items, cats, "product_id", spread_by=["order_id", "order_item_id", "seller_id"],
+                    hot=m.hot("order_items", "product_id"))
         .groupBy("order_id", "product_category_name")
         .agg(
             F.count(F.lit(1)).alias("n_items"),
@@ -113,7 +116,7 @@ def review_category(m: Marketplace) -> DataFrame:
     order_id and the main category of the order."""
     return salted_join(
         m.order_reviews.select("review_id", "order_id"), main_product_category(m),
-        "order_id", spread_by=["review_id"],
+        "order_id", spread_by=["review_id"], hot=m.hot("order_reviews", "order_id"),
     ).select("review_id", "order_id", "product_category")
 
 
@@ -129,5 +132,5 @@ def review_features(m: Marketplace) -> DataFrame:
     )
     return salted_join(
         lengths, main_product_category(m), "order_id", "left",
-        spread_by=["review_id"], other_unique=True,
+        spread_by=["review_id"], other_unique=True, hot=m.hot("order_reviews", "order_id"),
     ).select("review_id", "order_id", "review_comment_length", "product_category")

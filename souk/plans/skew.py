@@ -14,6 +14,14 @@ inputs are not; so the split is written out:
 * the other side's rows of a hot key are copied to every piece;
 * the join runs on (key, piece); cold keys use piece 0 on both sides.
 
+Keys of the base tables are looked up in a sketch: ``sketch`` counts the sampled
+rows of all a table's key columns in one pass (counts of parts add up, and the
+result is bounded as below), and every join of a query shares it
+(``Marketplace.hot``). A join of rows that come from a base table by filters,
+aggregates and lookups has no more rows of a key than that table, so the table's
+sketch serves it too: pieces too many cost a copy, never a row. Without hot keys the
+join is the plain one. Other inputs are sampled where they are joined.
+
 The hot-key table holds the keys with most rows, at most four for each
 shuffle partition, so broadcasting it is bounded by the cluster's setting
 and not by the data: a key beyond those holds less than a quarter of a
@@ -23,10 +31,11 @@ plain join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Session setting: rows of one key above which the key is split.
@@ -36,13 +45,61 @@ DEFAULT_HOT_KEY_ROWS = 1_000_000
 _SAMPLED_AT_THRESHOLD = 100
 
 _PIECES, _SALT = "_pieces", "_salt"
-_TURNS, _TURN, _MET = "_turns", "_turn", "_met"
+_TURNS, _TURN, _MET, _BIG = "_turns", "_turn", "_met", "_big"
 # Keys beyond this many for each shuffle partition hold too little to split.
 _HOT_KEYS_PER_PARTITION = 4
 # Pieces for the rows without a key, more than any cluster has tasks at once.
 _NULL_PIECES = 1 << 16
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys of one column that hold more than a piece's rows, with the
+    number of pieces of each, and whether its NULLs do."""
+
+    kind: str
+    pieces: tuple[tuple[object, int], ...] = ()
+    nulls: bool = False
+
+    def table(self, spark, key: str) -> DataFrame:
+        """(key, _pieces): a local table, at most four keys for each shuffle partition."""
+        rows = [(str(k), n) for k, n in self.pieces]
+        return spark.createDataFrame(rows, f"_k string, {_PIECES} int").select(
+            F.col("_k").cast(self.kind).alias(key), _PIECES
+        )
+
+
+def sketch(
+    df: DataFrame, columns: list[str], identity: list[str], rows_per_piece: int | None = None
+) -> dict[str, HotKeys]:
+    """The hot keys of each of the ``columns``, from one pass over ``df``: a
+    deterministic sample of the rows, drawn by a hash of ``identity`` (columns
+    that tell rows apart), counted per (column, key)."""
+    limit = rows_per_piece or hot_key_rows(df)
+    every = max(1, limit // _SAMPLED_AT_THRESHOLD)
+    most = _HOT_KEYS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("k")) for i, c in enumerate(columns)))
+    est = F.col("n") * every
+    counted = (
+        df.filter(F.pmod(_row_hash(identity, 17), F.lit(every)) == 0)
+        .select(F.explode(keys).alias("key"))
+        .groupBy("key.i", "key.k")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(est > limit)
+    )
+    first = Window.partitionBy("i").orderBy(F.desc("n"), "k")  # keys over the threshold only
+    found = counted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most + 1).collect()
+    kinds = dict(df.dtypes)
+    return {
+        c: HotKeys(
+            kinds[c],
+            tuple((r["k"], -(-r["n"] * every // limit)) for r in found if r["i"] == i and r["k"] is not None)[:most],
+            any(r["i"] == i and r["k"] is None for r in found),
+        )
+        for i, c in enumerate(columns)
+    }
+
+
 def hot_key_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))
 
@@ -103,35 +160,62 @@ def salted_join(
     other_unique: bool = False,
     rows_per_piece: int | None = None,
     other_spread_by: list[str] | None = None,
+    hot: HotKeys | None = None,
+    other_hot: HotKeys | None = None,
 ) -> DataFrame:
     """``big.join(other, key, how)`` with hot keys of ``big`` split.
 
-    ``how`` is "inner", "left" or "left_anti" (``big`` is the preserved side).
+    ``how`` is "inner", "left" or "left_anti" (``big`` is the preserved side), or
+    "full" where both sides' hot keys are given.
     ``other_spread_by``: keys with many rows in ``other`` are split as well,
     by the hash of these columns of it (not for "left_anti").
     ``other_unique``: ``other`` has at most one row per key; the salted copy
     is then regrouped per (key, piece) so the optimizer still knows it is
     unique and can drop a left join whose columns are not used.
+    ``hot``, ``other_hot``: the sides' hot keys, as sketched; else ``big`` (and
+    ``other``, if split) is sampled here.
     """
     keys = _keys(key)
     spread = spread_by or [c for c in big.columns if c not in keys]
-    hot = F.broadcast(hot_keys(big, keys, spread, rows_per_piece))
+    if how == "full" and (hot is None or (other_spread_by and other_hot is None)):
+        raise ValueError("a full join needs both sides' hot keys")
+    if hot is not None:
+        turned = bool(other_spread_by) and other_hot is not None and (
+            bool(other_hot.pieces) or (how == "full" and other_hot.nulls)
+        )
+        if not hot.pieces and not hot.nulls and not turned:
+            if not other_spread_by or other_hot is not None:
+                return big.join(other, keys, how)
+        pieces = F.broadcast(hot.table(big.sparkSession, keys[0]))
+    else:
+        pieces = F.broadcast(hot_keys(big, keys, spread, rows_per_piece))
     piece = F.pmod(_row_hash(spread, 29), F.col(_PIECES))
     # rows with a NULL key match nothing: any piece will do, so they spread
     no_key = reduce(or_, (F.col(k).isNull() for k in keys))
     anywhere = F.pmod(_row_hash(spread, 29), F.lit(_NULL_PIECES))
-    salted_big = big.join(hot, keys, "left").withColumn(
+    salted_big = big.join(pieces, keys, "left").withColumn(
         _SALT, F.when(no_key, anywhere).otherwise(F.coalesce(piece, F.lit(0))).cast("int")
     ).drop(_PIECES)
-    salted_other = other.join(hot, keys, "left").withColumn(_SALT, _each(_PIECES)).drop(_PIECES)
+    salted_other = other.join(pieces, keys, "left").withColumn(_SALT, _each(_PIECES))
+    if how == "full" and other_spread_by:
+        # kept rows without a key spread as well
+        loose = F.pmod(_row_hash(other_spread_by, 31), F.lit(_NULL_PIECES)).cast("int")
+        salted_other = salted_other.withColumn(_SALT, F.when(no_key, loose).otherwise(F.col(_SALT)))
+    if how != "full":
+        salted_other = salted_other.drop(_PIECES)
     if other_unique:
         values = [c for c in other.columns if c not in keys]
         salted_other = salted_other.groupBy(*keys, _SALT).agg(
             *(F.min(c).alias(c) for c in values)
         )
+    if how == "full":
+        return _full(salted_big, salted_other, keys, other_spread_by, other_hot)
     if not other_spread_by:
         return salted_big.join(salted_other, [*keys, _SALT], how).drop(_SALT)
-    many = hot_keys(other, keys, other_spread_by, rows_per_piece)
+    if other_hot is not None:
+        many = other_hot.table(big.sparkSession, keys[0])
+    else:
+        many = hot_keys(other, keys, other_spread_by, rows_per_piece)
     many = F.broadcast(many.withColumnRenamed(_PIECES, _TURNS))
     turn = F.pmod(_row_hash(other_spread_by, 31), F.col(_TURNS)).cast("int")
     salted_big = salted_big.join(many, keys, "left").withColumn(_TURN, _each(_TURNS))
@@ -146,3 +230,28 @@ def salted_join(
     return joined.filter(F.col(_TURNS).isNull() | F.col(_MET).isNotNull()).drop(
         _SALT, _TURN, _TURNS, _MET
     )
+
+
+def _full(
+    salted_big: DataFrame, salted_other: DataFrame, keys: list[str],
+    other_spread_by: list[str] | None, other_hot: HotKeys | None,
+) -> DataFrame:
+    """The full join of the two salted sides. A key that is hot on one side has
+    rows there, so a copy of the other side's row that meets none of them in
+    its piece only repeats a row that is matched elsewhere; it goes."""
+    salted_big = salted_big.withColumn(_BIG, F.lit(True))
+    on = [*keys, _SALT]
+    if other_spread_by and other_hot is not None and other_hot.pieces:
+        many = F.broadcast(other_hot.table(salted_big.sparkSession, keys[0]).withColumnRenamed(_PIECES, _TURNS))
+        salted_big = salted_big.join(many, keys, "left").withColumn(_TURN, _each(_TURNS))
+        salted_other = salted_other.join(many.withColumnRenamed(_TURNS, "_own"), keys, "left").withColumn(
+            _TURN, F.coalesce(F.pmod(_row_hash(other_spread_by, 31), F.col("_own")).cast("int"), F.lit(0))
+        ).drop("_own")
+        on.append(_TURN)
+    else:
+        salted_big = salted_big.withColumn(_TURNS, F.lit(None).cast("int"))
+    joined = salted_big.join(salted_other.withColumn(_MET, F.lit(True)), on, "full")
+    both = F.col(_BIG).isNotNull() & F.col(_MET).isNotNull()
+    lone_big = F.col(_MET).isNull() & F.col(_TURNS).isNull()
+    lone_other = F.col(_BIG).isNull() & F.col(_PIECES).isNull()
+    return joined.filter(both | lone_big | lone_other).drop(_SALT, _TURN, _TURNS, _MET, _BIG, _PIECES)

@@ -13,11 +13,13 @@ from __future__ import annotations
 import posixpath
 from dataclasses import dataclass, fields
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from souk.plans.skew import HotKeys, sketch
 from souk.sources.records import MAX_RECORD, Records, file_headers, records
 from souk.sources.schemas import MULTILINE_TABLES, TABLE_SCHEMAS
 
@@ -30,6 +32,20 @@ FILE_EXT = ".csv"
 _TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+# Table -> its columns that joins go by, and the columns that tell rows apart.
+SKETCHED = {
+    "orders": (["customer_id"], ["order_id"]),
+    "order_items": (["order_id", "product_id", "seller_id"], ["order_id", "order_item_id", "product_id", "seller_id"]),
+    "order_reviews": (["order_id"], ["order_id", "review_id"]),
+    "sellers": (["seller_zip_code_prefix", "seller_city"], ["seller_id"]),
+    "customers": (["customer_zip_code_prefix"], ["customer_id"]),
+    "products": (["product_category_name"], ["product_id"]),
+}
+
+# The sketches made so far, for as long as their catalog is in use.
+_SKETCHES: WeakKeyDictionary[Marketplace, dict] = WeakKeyDictionary()
+
+
 @dataclass(frozen=True)
 class Marketplace:
     """Lazy base tables of the marketplace model (see ``schemas``)."""
@@ -44,6 +60,16 @@ class Marketplace:
     category_translation: DataFrame
     order_payments: DataFrame | None = None
 
+    def hot(self, table: str, column: str) -> HotKeys:
+        """The keys of a base table's column that hold very many rows. A table's
+        key columns are sketched in one pass, when the first is asked for, and
+        every join over this catalog shares the sketch."""
+        known = _SKETCHES.setdefault(self, {})
+        if table not in known:
+            columns, identity = SKETCHED[table]
+            known[table] = sketch(getattr(self, table), columns, identity)
+        return known[table][column]
+
     @classmethod
     def from_tables(cls, tables: dict[str, DataFrame]) -> "Marketplace":
         names = {f.name for f in fields(cls)}

@@ -62,3 +62,18 @@ def test_no_nested_loop_join_without_broadcasts(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def scans(spark, name: str) -> int:
+    """File scans in the plan as first made (exchanges reused)."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan(spark_query(name)(spark, SF_SMALL)).count("FileScan parquet")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("name, most", [("link_table", 3), ("order_features", 3), ("order_features_distance", 12)])
+def test_tables_are_scanned_few_times(spark, name, most):
+    assert scans(spark, name) <= most

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from souk.plans.skew import hot_keys, salted_join
+from souk.plans.skew import hot_keys, salted_join, sketch
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,42 @@ def test_rows_without_a_key_spread_over_tasks(spark):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("limit", [20, 10_000_000])
+@pytest.mark.parametrize("other_split", [False, True])
+def test_full_join_with_sketched_keys(spark, limit, other_split):
+    # 1 is hot on both sides, 2 only in the other, 3 only in the big side; 4 and 5 on one side
+    big = [(1, i) for i in range(300)] + [(2, 0), (2, 1), (4, 1)] + [(None, i) for i in range(60)] + [(3, i) for i in range(300)]
+    other = [(1, f"a{i}") for i in range(90 if other_split else 2)] + [(3, "c"), (5, "d"), (None, "n"), (None, "m")]
+    other += [(2, f"b{i}") for i in range(400)] if other_split else [(2, "b")]
+    big, other = spark.createDataFrame(big, "k int, v int"), spark.createDataFrame(other, "k int, w string")
+    hot, many = sketch(big, ["k"], ["v"], limit)["k"], sketch(other, ["k"], ["w"], limit)["k"]
+    if limit == 20:
+        assert {k for k, _ in hot.pieces} == {"1", "3"} and hot.nulls
+    got = salted_join(
+        big, other, "k", "full", spread_by=["v"], hot=hot,
+        other_spread_by=["w"] if other_split else None, other_hot=many if other_split else None,
+    )
+    assert got.columns == ["k", "v", "w"]
+    assert _rows(got) == _rows(big.join(other, "k", "full"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+@pytest.mark.parametrize("limit", [100, 10_000_000])
+def test_sketched_keys_give_the_plain_join(frames, how, limit):
+    big, other = frames
+    hot = sketch(big, ["k"], ["v"], limit)["k"]
+    got = salted_join(big, other, "k", how, spread_by=["v"], hot=hot)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, big.join(other, "k", how).collect()))
+    assert bool(hot.pieces) == (limit == 100)
+
+
+def test_one_sketch_serves_all_columns(spark):
+    rows = [(i % 3, "x" if i % 2 else None, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "a long, b string, i int")
+    got = sketch(df, ["a", "b", "i"], ["i"], rows_per_piece=150)
+    assert {k for k, n in got["a"].pieces} == {"0", "1", "2"} and all(n >= 2 for _, n in got["a"].pieces)
+    assert [k for k, _ in got["b"].pieces] == ["x"] and got["b"].nulls
+    assert got["i"].pieces == () and not got["i"].nulls
+    assert got["a"].table(spark, "a").dtypes == [("a", "bigint"), ("_pieces", "int")]
