@@ -14,6 +14,7 @@ from souk.plans.distributions import (
     box_stats,
     grouped_quantiles,
     kde,
+    kde_binned,
 )
 
 # Fixed values of the charts: density grids of 200 points cut 3 bandwidths
@@ -42,9 +43,16 @@ def kde_active_months(cohorts: DataFrame) -> DataFrame:
     return kde(cohorts, ["cohort"], "active_months", KDE_GRID, KDE_CUT)
 
 
+def kde_wait_time(segments: DataFrame, binned: bool = False) -> DataFrame:
+    """Density of customer wait per profile; ``binned`` within a ten-thousandth
+    of its peak, at a cost that does not grow with the distinct waits."""
+    density = kde_binned if binned else kde
+    return density(segments.filter(F.col("profile").isNotNull()), ["profile"], "wait_time", KDE_GRID, KDE_CUT)
+
+
 def box_wait_time(segments: DataFrame) -> DataFrame:
     """Box statistics of customer wait per profile."""
-    return box_stats(segments, ["profile"], "wait_time", ["seller_id"], WHISKERS)
+    return box_stats(segments, ["profile"], "wait_time", WHISKERS)
 
 
 def fliers_wait_time(segments: DataFrame) -> DataFrame:
@@ -67,7 +75,7 @@ def violin_sales_per_order(segments: DataFrame) -> DataFrame:
                 F.lit(1.0).alias("density"))
     )
     quart = grouped_quantiles(
-        segments, ["profile"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["seller_id"],
+        segments, ["profile"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )
     return dens.unionByName(flat).join(quart, "profile", "left")
 

@@ -31,7 +31,8 @@ def product_features(m: Marketplace) -> DataFrame:
     """Products with an English category (others are dropped), with the
     misspelt length columns renamed."""
     return salted_join(
-        m.products, m.category_translation, "product_category_name", spread_by=["product_id"]
+        m.products, m.category_translation, "product_category_name", spread_by=["product_id"],
+        hot=m.hot("products", "product_category_name"),
     ).select(
         "product_id",
         F.col("product_name_lenght").alias("product_name_length"),
@@ -98,6 +99,7 @@ def wait_time(m: Marketplace) -> DataFrame:
     rows = salted_join(
         _product_items(m).select("order_id", "product_id", "order_item_id", "seller_id"),
         per_order, "order_id", spread_by=["product_id", "order_item_id", "seller_id"],
+        hot=m.hot("order_items", "order_id"),
     )
     w, wait = _review_weight(), F.col("wait_us")
     sums = rows.groupBy("product_id").agg(
@@ -112,7 +114,10 @@ def _pair_reviews(m: Marketplace, rates: Rates) -> DataFrame:
         .select("order_id", "product_id")
         .distinct()
     )
-    return salted_join(pairs, order_review_stats(m, rates), "order_id", spread_by=["product_id"])
+    return salted_join(
+        pairs, order_review_stats(m, rates), "order_id", spread_by=["product_id"],
+        hot=m.hot("order_items", "order_id"),
+    )
 
 
 def review_scores(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
@@ -156,6 +161,11 @@ def product_mart(
     (order, product), then per product. ``with_freight`` adds the mean
     freight value per item row.
     """
+    return mart_of(_per_product(pair_sums(m, rates)), m, rates, with_freight)
+
+
+def pair_sums(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """Per (order, product) with items: the sums behind every product-mart feature."""
     orders = m.orders.select(
         "order_id", "order_status", "order_purchase_timestamp",
         "order_delivered_customer_date",
@@ -166,14 +176,14 @@ def product_mart(
     )
     rows = salted_join(
         items, per_order, "order_id", "left",
-        spread_by=["product_id", "order_item_id", "seller_id"],
+        spread_by=["product_id", "order_item_id", "seller_id"], hot=m.hot("order_items", "order_id"),
     )
     delivered = F.coalesce(is_delivered_col(), F.lit(False))
     wait = micros_between(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     )
     w = _review_weight()
-    per_pair = rows.groupBy("order_id", "product_id").agg(
+    return rows.groupBy("order_id", "product_id").agg(
         F.count("order_id").alias("n_items"),
         F.sum("price").alias("price_sum"),
         F.count("price").alias("n_priced"),
@@ -184,11 +194,14 @@ def product_mart(
         F.sum(F.when(delivered & wait.isNotNull(), w)).alias("wait_w"),
         *[
             F.max(c).alias(c)
-            for c in ("n_reviews", "n_one_star", "n_five_star", "score_sum", "n_scored",
-                      "product_review_cost")
+            for c in ("n_reviews", "n_one_star", "n_two_star", "n_three_star", "n_five_star",
+                      "score_sum", "n_scored", "product_review_cost")
         ],
     )
-    per_product = per_pair.groupBy("product_id").agg(
+
+
+def _per_product(per_pair: DataFrame) -> DataFrame:
+    return per_pair.groupBy("product_id").agg(
         *resum("wait"),
         F.sum("wait_w").alias("_wait_w"),
         _mean_price(F.sum("price_sum"), F.sum("n_priced")).alias("price"),
@@ -203,6 +216,12 @@ def product_mart(
         F.sum("n_delivered").alias("_n_delivered"),
         F.sum("n_reviews").alias("_n_reviews"),
     )
+
+
+def mart_of(
+    per_product: DataFrame, m: Marketplace, rates: Rates = DEFAULT_RATES, with_freight: bool = False
+) -> DataFrame:
+    """The product mart from per-product sums."""
     mart = (
         per_product.filter((F.col("_n_delivered") > 0) & (F.col("_n_reviews") > 0))
         .withColumn("wait_time", mean_days("wait", F.col("_wait_w")))

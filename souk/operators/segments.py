@@ -3,13 +3,15 @@ all over the seller mart."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.expr import round_half_even
 from souk.plans.ranking import ordered
+from souk.plans.selection import LAST_ROWS, fixed, order_statistics
 from souk.plans.skew import salted_join
 
 
@@ -37,6 +39,11 @@ class Cutoffs:
 
         return {"k_worst": k(self.worst), "k_bad": k(self.bad), "k_neutral": k(self.neutral)}
 
+    def counts(self, n: int) -> list[int]:
+        """The worst, bad and neutral cut-off for ``n`` sellers."""
+        at = (self.worst, self.bad, self.neutral)
+        return [c if self.of is None else math.floor(c * n / float(self.of) + 0.5) for c in at]
+
 
 ABSOLUTE_CUTOFFS = Cutoffs()
 SCALED_CUTOFFS = Cutoffs(of=2970)
@@ -143,6 +150,89 @@ def _profile() -> Column:
     )
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """The ``k`` first sellers in the order of removal: those below ``profits``
+    and ``ties`` of the ``equal`` that have it (None: no profit)."""
+
+    profits: float | None
+    ties: int
+    equal: int
+
+    def holds(self, place: Column | None = None) -> Column:
+        p = F.col("profits")
+        below = F.lit(False) if self.profits is None else p.isNull() | (p < self.profits)
+        tied = p.eqNullSafe(F.lit(self.profits).cast("double"))
+        if place is not None:
+            return below | (tied & (place <= self.ties))
+        return below | tied if self.ties == self.equal else below
+
+
+def _cuts(base: DataFrame, cutoffs: Cutoffs, last_rows: int) -> list[_Cut]:
+    p = F.col("profits")
+    size = base.agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("_n"), F.min(p).alias("_lo"), F.max(p).alias("_hi")
+    ).first()
+    nulls = size["n"] - size["_n"]
+    ks = [max(0, min(k, size["n"])) for k in cutoffs.counts(size["n"])]
+    wanted = sorted({k - nulls - 1 for k in ks if k > nulls})
+    values, beside = {}, {}
+    if wanted:
+        spark = base.sparkSession
+        ranks = spark.createDataFrame(
+            [(0, r, size["_n"], size["_lo"], size["_hi"]) for r in wanted],
+            "_all int, _rank long, _n long, _lo double, _hi double",
+        )
+        vals = base.filter(p.isNotNull()).select(F.lit(0).alias("_all"), "profits")
+        found = order_statistics(vals, ["_all"], "profits", ranks, last_rows=last_rows)
+        values = {r["_rank"]: r["profits"] for r in found.collect()}
+        counts = base.agg(*(F.struct(F.count_if(p < v), F.count_if(p == v)).alias(f"v{r}") for r, v in values.items())).first()
+        beside = {r: tuple(counts[f"v{r}"]) for r in values}
+
+    def cut(k: int) -> _Cut:
+        if k <= nulls:
+            return _Cut(None, k, nulls)
+        less, equal = beside[k - nulls - 1]
+        return _Cut(values[k - nulls - 1], k - nulls - less, equal)
+
+    return [cut(k) for k in ks]
+
+
+def profiled_sellers(
+    mart: DataFrame, cutoffs: Cutoffs = ABSOLUTE_CUTOFFS, last_rows: int = LAST_ROWS
+) -> DataFrame:
+    """Seller mart with sales_per_order and the profile that ``seller_segments``
+    gives, found without ranking the sellers: only the profits at the three
+    cut-offs are selected. Sellers whose tie is divided by a cut-off are told
+    apart by the order of removal among them."""
+    base = fixed(with_sales_per_order(mart))
+    cuts = _cuts(base, cutoffs, last_rows)
+
+    def profile(place: Column | None = None) -> Column:
+        worst, bad, neutral = (c.holds(place) for c in cuts)
+        return F.when(worst, "Worst").when(bad, "Bad").when(neutral, "Neutral").otherwise("Good")
+
+    divided = {c.profits: c.equal for c in cuts if 0 < c.ties < c.equal}
+    if not divided:
+        return base.withColumn("profile", profile())
+    p = F.col("profits")
+    tied = F.lit(False)
+    for v in divided:
+        tied = tied | p.eqNullSafe(F.lit(v).cast("double"))
+    ties = base.filter(tied)
+    if sum(divided.values()) <= last_rows:
+        placed = ties.withColumn("_place", F.row_number().over(Window.partitionBy("profits").orderBy(*removal_order()[1:])))
+    else:
+        placed, before = ordered(ties, removal_order(), "_place"), 0
+        first = F.lit(0)
+        for v in sorted(divided, key=lambda x: (x is not None, x)):  # ties follow each other
+            first = F.when(p.eqNullSafe(F.lit(v).cast("double")), F.lit(before)).otherwise(first)
+            before += divided[v]
+        placed = placed.withColumn("_place", F.col("_place") - first)
+    apart = placed.withColumn("profile", profile(F.col("_place"))).drop("_place")
+    return base.filter(~tied).withColumn("profile", profile()).unionByName(apart)
+
+
 def seller_segments(ranked: DataFrame) -> DataFrame:
     """Disjoint profiles by removal rank: Worst, Bad, Neutral, Good."""
     return ranked.withColumn("profile", _profile())

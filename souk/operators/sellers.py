@@ -49,7 +49,7 @@ def seller_features(m: Marketplace, legacy: bool = False) -> DataFrame:
     )
     return salted_join(
         m.sellers.dropDuplicates(), points, "seller_city", "left",
-        spread_by=["seller_id", "seller_state"], other_unique=True,
+        spread_by=["seller_id", "seller_state"], other_unique=True, hot=m.hot("sellers", "seller_city"),
     ).select("seller_id", "seller_city", "seller_state", LAT, LNG)
 
 
@@ -60,7 +60,7 @@ def delay_wait(m: Marketplace, legacy: bool = False) -> DataFrame:
     orders = m.orders
     if not legacy:
         orders = orders.filter(is_delivered_col())
-    ship = salted_join(_seller_items(m), orders, "order_id", spread_by=ITEM_SPREAD)
+    ship = salted_join(_seller_items(m), orders, "order_id", spread_by=ITEM_SPREAD, hot=m.hot("order_items", "order_id"))
     delay = late_micros(F.col("shipping_limit_date"), F.col("order_delivered_carrier_date"))
     wait = micros_between(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
@@ -87,6 +87,7 @@ def active_dates(m: Marketplace, legacy: bool = False) -> DataFrame:
         salted_join(
             _seller_items(m).select("order_id", *ITEM_SPREAD),
             m.orders.select("order_id", when), "order_id", spread_by=ITEM_SPREAD,
+            hot=m.hot("order_items", "order_id"),
         )
         .groupBy("seller_id")
         .agg(F.min(when).alias("date_first_sale"), F.max(when).alias("date_last_sale"))
@@ -111,7 +112,7 @@ def _pair_reviews(m: Marketplace, entity: str, rates: Rates) -> DataFrame:
     """(order, entity) pairs with the review statistics of their order;
     pairs of orders without reviews are dropped."""
     return salted_join(_pairs(m, entity), order_review_stats(m, rates), "order_id",
-                       spread_by=[entity])
+                       spread_by=[entity], hot=m.hot("order_items", "order_id"))
 
 
 def review_scores(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
@@ -211,13 +212,12 @@ def profits(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     )
 
 
-def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
-    """Per seller with items: the sums behind every seller-mart feature.
+def pair_sums(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """Per (order, seller) with items: the sums behind every seller-mart feature.
 
     Item rows are joined to one per-order row (the order and its review
     statistics; an order holding a large share of the items is split over
-    several tasks), aggregated per (order, seller) and then per seller,
-    each aggregate partial on the map side first.
+    several tasks) and aggregated, partially on the map side first.
     """
     orders = m.orders.select(
         "order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
@@ -230,14 +230,14 @@ def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame
     )
     rows = salted_join(
         items, per_order, "order_id", "left",
-        spread_by=ITEM_SPREAD,
+        spread_by=ITEM_SPREAD, hot=m.hot("order_items", "order_id"),
     )
     delivered = F.coalesce(F.col("_dated") & is_delivered_col(), F.lit(False))
     wait = micros_between(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     )
     delay = late_micros(F.col("shipping_limit_date"), F.col("order_delivered_carrier_date"))
-    per_pair = rows.groupBy("order_id", "seller_id").agg(
+    return rows.groupBy("order_id", "seller_id").agg(
         F.count("order_id").alias("n_items"),
         F.sum("price").alias("price_sum"),
         F.count_if(F.col("_dated")).alias("n_dated"),
@@ -249,11 +249,15 @@ def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame
         F.max("order_approved_at").alias("last_approved"),
         *[
             F.max(c).alias(c)
-            for c in ("n_reviews", "n_one_star", "n_five_star", "score_sum", "n_scored",
-                      "seller_review_cost")
+            for c in ("n_reviews", "n_one_star", "n_two_star", "n_three_star", "n_five_star",
+                      "score_sum", "n_scored", "seller_review_cost")
         ],
     )
-    return per_pair.groupBy("seller_id").agg(
+
+
+def seller_aggregates(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """Per seller with items: the sums of ``pair_sums``."""
+    return pair_sums(m, rates).groupBy("seller_id").agg(
         F.count("order_id").alias("n_orders"),
         F.sum("n_items").alias("quantity"),
         F.coalesce(F.sum("price_sum"), F.lit(0)).alias("_sales"),
@@ -281,7 +285,11 @@ def seller_mart(m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
     # the IT-cost denominator over all sellers; a checkpoint computes it once
     # (otherwise each use re-reads the items) and cuts the lineage.
     ensure_checkpoint_dir(per_seller.sparkSession)
-    per_seller = per_seller.checkpoint(eager=True)
+    return mart_of(per_seller.checkpoint(eager=True), m, rates)
+
+
+def mart_of(per_seller: DataFrame, m: Marketplace, rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """The seller mart from the per-seller sums of ``seller_aggregates``."""
     revenue = _commission(F.col("_sales"), rates) + F.lit(
         rates.subscription_per_month
     ) * F.col("active_months")
@@ -324,7 +332,7 @@ def legacy_review_scores(m: Marketplace) -> DataFrame:
         return F.sum(F.col("_items") * F.col(name))
 
     return (
-        salted_join(items, per_order, "order_id", spread_by=["seller_id"])
+        salted_join(items, per_order, "order_id", spread_by=["seller_id"], hot=m.hot("order_items", "order_id"))
         .groupBy("seller_id")
         .agg(
             F.try_divide(weighted("_five"), weighted("_rows")).alias("share_of_five_stars"),

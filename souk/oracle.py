@@ -401,6 +401,25 @@ FROM (
   GROUP BY d.{group}, q1, median, q3)"""
 
 
+def kde_binned_query(prefix: str, src: str, group: str, value: str, gridsize: int, cut: float, tolerance: float):
+    """As ``kde_query``, over values shared out between the nodes of a fine grid."""
+    ctes, select = kde_sql(prefix, src, group, value, gridsize, cut)
+    ctes[f"{prefix}_c"] = f"""
+SELECT g, start + j * delta AS v, sum(w) AS c
+FROM (
+  SELECT g, start, delta, floor(pos) + k AS j, CASE k WHEN 0 THEN 1 - (pos - floor(pos)) ELSE pos - floor(pos) END AS w
+  FROM (
+    SELECT g, start, delta, (v - start) / delta AS pos
+    FROM {prefix}_v JOIN (
+      SELECT g, start, sqrt(CAST(8.0 AS DOUBLE) * sqrt(2 * pi()) * CAST({tolerance} AS DOUBLE) * bw * bw * bw
+        / (stop - start)) AS delta
+      FROM {prefix}_s) USING (g)),
+    range(0, 2) AS t(k))
+GROUP BY g, start, delta, j"""
+    OPERATOR_CTES.update(ctes)
+    return select, ("x", "density")
+
+
 def kde_query(prefix: str, src: str, group: str, value: str, gridsize: int, cut: float):
     """(oracle SQL, double columns) of a KDE query, for a registry entry."""
     ctes, select = kde_sql(prefix, src, group, value, gridsize, cut)

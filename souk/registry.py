@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from souk import oracle as sql
 from souk.functions.canonical import canonical
-from souk.operators import analysis, link, orders, products, reviews, roundtrip, segments, sellers
+from souk.operators import analysis, link, orders, products, replay, reviews, roundtrip, segments, sellers
 from souk.sources.catalog import Marketplace
 from souk.sources.star import load_star_marketplace
 
@@ -148,6 +148,7 @@ WHERE COLUMNS(*) IS NOT NULL""",
     "seller_costs": Query(sellers.costs, _select("c8"), ("costs",)),
     "seller_profits": Query(sellers.profits, _select("c9"), ("profits",)),
     "seller_mart": Query(sellers.seller_mart, _select("c10"), SELLER_MART_DOUBLES),
+    "seller_mart_refreshed": Query(replay.refreshed_seller_mart, _select("c10"), SELLER_MART_DOUBLES),
     "seller_mart_legacy": Query(
         sellers.legacy_seller_mart,
         _not_null("l12"),
@@ -186,6 +187,7 @@ WHERE COLUMNS(*) IS NOT NULL""",
     "product_quantity": Query(products.quantity, _select("d8")),
     "product_sales": Query(products.sales, _select("d9"), ("sales",)),
     "product_mart": Query(products.product_mart, _select("d10"), PRODUCT_MART_DOUBLES),
+    "product_mart_refreshed": Query(replay.refreshed_product_mart, _select("d10"), PRODUCT_MART_DOUBLES),
     "product_mart_with_freight": Query(
         lambda m: products.product_mart(m, with_freight=True),
         """SELECT d10.*, freight_value FROM d10 JOIN (
@@ -248,7 +250,7 @@ UNION ALL (SELECT 'best', n_sellers_removed, benefits_of_removing FROM curve
         "SELECT seller_id, cohort FROM cohorts",
     ),
     "segment_sizes": Query(
-        lambda m: segments.segment_sizes(segments.seller_segments(_ranked(m))),
+        lambda m: segments.segment_sizes(_profiled(m)),
         "SELECT profile, count(*) AS n_sellers FROM segments GROUP BY profile",
     ),
     "behaviour_points": Query(
@@ -293,30 +295,38 @@ FROM c10 WHERE share_of_one_stars > 0.18 AND wait_time > 12.0 AND sales / n_orde
         lambda m: analysis.kde_active_months(segments.seller_cohorts(_ranked(m))),
         *sql.kde_query("e8", "cohorts", "cohort", "active_months", 200, 3.0),
     ),
+    "kde_wait_time": Query(
+        lambda m: analysis.kde_wait_time(_profiled(m)),
+        *sql.kde_query("e8w", "segments", "profile", "wait_time", 200, 3.0),
+    ),
+    "kde_wait_time_binned": Query(
+        lambda m: analysis.kde_wait_time(_profiled(m), binned=True),
+        *sql.kde_binned_query("e8b", "segments", "profile", "wait_time", 200, 3.0, 1e-4),
+    ),
     "box_wait_time": Query(
-        lambda m: analysis.box_wait_time(segments.seller_segments(_ranked(m))),
+        lambda m: analysis.box_wait_time(_profiled(m)),
         sql.box_sql("segments", "profile", "wait_time"),
         ("q1", "median", "q3", "whislo", "whishi"),
     ),
     "box_wait_time_fliers": Query(
-        lambda m: analysis.fliers_wait_time(segments.seller_segments(_ranked(m))),
+        lambda m: analysis.fliers_wait_time(_profiled(m)),
         f"""SELECT profile, seller_id, wait_time FROM segments
 JOIN ({sql.box_sql("segments", "profile", "wait_time")}) AS box USING (profile)
 WHERE wait_time < whislo OR wait_time > whishi""",
         ("wait_time",),
     ),
     "violin_sales_per_order": Query(
-        lambda m: analysis.violin_sales_per_order(segments.seller_segments(_ranked(m))),
+        lambda m: analysis.violin_sales_per_order(_profiled(m)),
         *sql.violin_query("e10", "segments", "profile", "sales_per_order"),
     ),
     "mean_one_star": Query(
-        lambda m: analysis.mean_one_star(segments.seller_segments(_ranked(m))),
+        lambda m: analysis.mean_one_star(_profiled(m)),
         """SELECT profile, avg(share_of_one_stars) AS mean_share_of_one_stars,
   count(share_of_one_stars) AS n_sellers FROM segments GROUP BY profile""",
         ("mean_share_of_one_stars",),
     ),
     "mean_one_star_ci": Query(
-        lambda m: analysis.mean_one_star_ci(segments.seller_segments(_ranked(m))),
+        lambda m: analysis.mean_one_star_ci(_profiled(m)),
         sql.bootstrap_sql("segments", "profile", "share_of_one_stars", "seller_id",
                           analysis.BOOT_REPLICATES, analysis.BOOT_LEVEL, 0),
         ("mean", "ci_low", "ci_high"),
@@ -343,6 +353,10 @@ WHERE wait_time < whislo OR wait_time > whishi""",
 }
 
 
+def _profiled(m: Marketplace) -> DataFrame:
+    return segments.profiled_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
+
+
 def _ranked(m: Marketplace) -> DataFrame:
     return segments.ranked_sellers(sellers.seller_mart(m), segments.SCALED_CUTOFFS)
 

@@ -4,6 +4,8 @@ segments add up, the curve starts at 0, densities integrate to 1."""
 from __future__ import annotations
 
 import math
+import random
+from dataclasses import fields
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +16,7 @@ from conftest import SF_SMALL, rows
 from souk.functions.expr import haversine_km
 from souk.operators import analysis, segments, sellers
 from souk.operators.economics import DEFAULT_RATES
+from souk.plans.distributions import kde, kde_binned
 from souk.registry import marketplace
 from souk.sources.catalog import Marketplace
 
@@ -27,7 +30,8 @@ def _shuffled(m: Marketplace, seed: int, parts: int) -> Marketplace:
     def mix(df):
         return df.orderBy(F.rand(seed)).repartition(parts)
 
-    return Marketplace(**{k: mix(v) for k, v in m.__dict__.items() if v is not None})
+    tables = {f.name: getattr(m, f.name) for f in fields(m)}
+    return Marketplace(**{k: mix(v) for k, v in tables.items() if v is not None})
 
 
 def _as_set(df):
@@ -120,7 +124,7 @@ def test_quantiles_match_linear_interpolation(spark):
 
     vals = [1.0, 2.0, 3.0, 10.0]
     df = spark.createDataFrame([("g", v, i) for i, v in enumerate(vals)], "g string, v double, i int")
-    (r,) = rows(grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, ["i"]))
+    (r,) = rows(grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}))
     assert (r["q1"], r["med"], r["q3"]) == (1.75, 2.5, 4.75)
 
 
@@ -202,3 +206,24 @@ def test_bootstrap_is_reproducible(m):
     a = sorted(map(tuple, analysis.mean_one_star_ci(seg, seed=3).collect()))
     b = sorted(map(tuple, analysis.mean_one_star_ci(seg, seed=3).collect()))
     assert a == b
+
+
+def test_binned_kde_is_within_its_bound(spark):
+    rng = random.Random(11)
+    data = {
+        "normal": [rng.gauss(3, 2) for _ in range(3000)],
+        "two": [rng.gauss(rng.choice([-8, 8]), 0.5) for _ in range(2000)],
+        "tail": [rng.lognormvariate(0, 1.2) for _ in range(2000)],
+        "ties": [float(rng.randrange(4)) for _ in range(500)],
+        "pair": [0.0, 1.0],
+        "flat": [2.0] * 9,
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs], "g string, v double")
+    exact = {(r["g"], r["point"]): (r["x"], r["density"]) for r in kde(df, ["g"], "v").collect()}
+    got = {(r["g"], r["point"]): (r["x"], r["density"]) for r in kde_binned(df, ["g"], "v").collect()}
+    assert exact.keys() == got.keys() and {g for g, _ in got} == set(data) - {"flat"}
+    for g in data:
+        peak = max((d for (k, _), (_, d) in exact.items() if k == g), default=0)
+        for key, (x, d) in exact.items():
+            if key[0] == g:
+                assert got[key][0] == x and abs(got[key][1] - d) < 1e-4 * peak
