@@ -16,6 +16,7 @@ from souk.llm import (
     mixing,
     neighbours,
     packing,
+    pipeline,
     resampling,
     secrets,
     sharding,
@@ -32,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = bpe.vocabulary(spark, corpus_pipeline.VOCABULARY, public_tokenizers.PATTERN)
+    shared = bpe.vocabulary(spark, pipeline.VOCABULARY, public_tokenizers.PATTERN)
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), shared), shared)
 
 

@@ -34,8 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import raw, staged
+from souk.llm.common import raw, slices, staged
 from souk.llm.graph import roots
+from souk.plans.skew import salted_join
 
 SHINGLE = 3
 RADIUS = 2
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, text_col: str, new: str, shingle: int = SHINGL
     keep = [c for c in docs.columns if c not in (text_col, new)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             prints = [fingerprint(t, shingle) for t in raw(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(np.array(prints, "<u8").view("<i8"))],
@@ -128,12 +129,16 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     radius: int = RADIUS,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """(id, fp, root, component_id) for every row: ``fp`` the fingerprint as a
-    signed long, ``root`` the fingerprint that stands for the component."""
+    """(id, fp, root, component_id[, carry]) for every row: ``fp`` the fingerprint
+    as a signed long, ``root`` the fingerprint that stands for the component."""
+    carry = carry or []
     rows = staged(
         fingerprints(
-            docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")),
+            docs.select(
+                F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry
+            ),
             "_text", "fp", shingle,
         ),
         "simhash",
@@ -145,8 +150,14 @@ def near_duplicates(
     )
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(components, "root")
-    return rows.join(named, "fp").select(
-        F.col("_id").alias(id_col), "fp", "root", "component_id"
+    # one text may have very many copies: more than a quarter of a task's share are split
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = rows.count() // (4 * parts) + 1
+    joined = salted_join(
+        rows, named, "fp", spread_by=["_id", *carry], other_unique=True, rows_per_piece=share
+    )
+    return joined.select(
+        F.col("_id").alias(id_col), "fp", "root", "component_id", *carry
     )
 
 

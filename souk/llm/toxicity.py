@@ -245,6 +245,20 @@ def train(
     return Machine(fitted["bias"], w, v, options.get("stem", STEM))
 
 
+def scorer(spark, machine: Machine | None):
+    """A function that gives the score of a text column; only texts go to Python."""
+    shared = spark.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        model, scores = shared.value, []
+        for at in range(0, len(texts), 256):  # a batch may hold many long texts
+            scores += [model.score(t) if model else 0.0 for t in raw(texts.slice(at, 256))]
+        return pa.array(scores, pa.float64())
+
+    return lambda text: run(text.cast("string"))
+
+
 def score(
     docs: DataFrame,
     machine: Machine | None,

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 
 
-from souk.llm import registry
+from souk.llm import mixing, pipeline, registry
 from souk.llm.common import staged
 
 from .conftest import SF, make_docs
@@ -73,7 +73,7 @@ def test_mixed_copies_are_encoded(stages):
 
 
 def test_decoded_bytes_are_the_texts(spark, odd):
-    out = corpus_pipeline.bpe_stage(spark, odd, SF)
+    out = pipeline.bpe_stage(spark, odd, SF)
     assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     got = Counter((r["doc_id"], r["decoded_sha256"]) for r in out.collect())
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
@@ -103,5 +103,24 @@ def test_each_stage_on_an_empty_table(spark, no_docs):
 
 def test_repeated_and_null_ids_leave_one_document(spark):
     rows = [(4, "same text here", "a"), (4, "same text here", "a"), (None, "same text here", "a"), (None, "other words", "b"), (None, "other words", "b")]
-    got = corpus_pipeline.simhash_stage(spark, make_docs(spark, rows), SF)
+    got = pipeline.simhash_stage(spark, make_docs(spark, rows), SF)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "other words"), (4, "same text here")]
+
+
+def test_alike_rows_are_mixed_like_others(spark):
+    rows = [(4, "some words of a text", "a")] * 30 + [(None, "others", "b")] * 20 + [(i, "x " * i, "b") for i in range(10)]
+    docs = staged(make_docs(spark, rows), "test-alike")
+    got = whole(pipeline.mixing_stage(spark, docs, SF))
+    want = Counter()
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), carry="text")
+    for r in mixed.filter("copies > 0").collect():
+        want[r["doc_id"], r["text"]] += r["copies"]
+    assert Counter({(k[0], k[1]): c for k, c in got.items()}) == want
+
+
+def test_all_ids_null(spark):
+    docs = make_docs(spark, [(None, f"text {i % 40} of " + "some words " * (i % 7), "hot") for i in range(120)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SF), "test-null")
+    assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
