@@ -1,108 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet
-and reread as the next one's input.
-
-A stage takes (spark, docs, sf_dir). All but the last return the columns of
-``docs``, whatever those are; rows are carried whole, so names can't clash.
-
-1. toxicity: documents with a score of at least 0.5 go;
-2. line dedup: the text loses its repeated lines (``n_chars`` follows, if there);
-3. SimHash near-dedup: one document of each group stays, that of the smallest id
-   (a repeated id: the first by hash);
-4. mixing: each document is repeated as often as the mix takes it;
-5. byte-level BPE: ids of every text, decoded again; digests of the ids and of the
-   decoded bytes.
-
-Null ids and texts, empty texts, repeated rows and empty tables go through every
-stage as the operators define.
-"""
+and reread as the next one's input. The stages' code and defined results are in
+``souk.llm.pipeline``."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import bpe, lines, mixing, simhash, toxicity
 from souk.llm.common import staged
-
-VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
-def _carried(docs: DataFrame) -> DataFrame:
-    """Id, text and source beside the whole row, packed."""
-    return docs.select(
-        F.col("doc_id"), F.col("text"), F.col("source"), F.struct("*").alias("_row")
-    )
-
-
-def _unpacked(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
-    return rows.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(_carried(docs), machine, carry="_row")
-    return _unpacked(scored.filter("predicted = 0"), docs)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the operator gives the text back, so the row travels without it
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("_null"), *rest).alias("_row"))
-    out = lines.dedup_lines(rows, carry="_row")
-    text = F.when(~F.col("_row._null") | (F.col("kept") != ""), F.col("kept"))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(kind)).otherwise(F.col("_row")["n_chars"])
-    return _unpacked(out, docs, **changed)
-
-
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the operator decides on ids and fingerprints; texts meet the decision by
-    # id and fingerprint
-    prints = staged(simhash.near_duplicates(docs), "pipeline-groups")
-    keep = prints.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("fp", "doc_id")).alias("one")
-    )
-    keep = keep.select(F.col("one.fp").alias("fp"), F.col("one.doc_id").alias("keep_id"))
-    rows = simhash.fingerprints(
-        docs.select("text", F.struct("*").alias("_row"), F.col("doc_id").alias("keep_id")), "text", "fp"
-    )
-    same = (rows["fp"] == keep["fp"]) & rows["keep_id"].eqNullSafe(keep["keep_id"])
-    kept = rows.join(keep, same, "left_semi")
-    # rows that repeat the kept id and fingerprint
-    first = Window.partitionBy("keep_id", "fp").orderBy(F.xxhash64("_row"))
-    kept = kept.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    return _unpacked(kept, docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_carried(docs), carry="_row").filter("copies > 0")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return _unpacked(mixed.select("_row", copies.alias("copy")), docs)
-
-
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)."""
-    shared = bpe.vocabulary(spark, VOCABULARY, public_tokenizers.PATTERN)
-    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return bpe.decode(bpe.encode(docs, shared), shared).select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
-
-
-STAGES = [
-    ("toxicity", toxicity_stage),
-    ("line_dedup", line_stage),
-    ("simhash_near_dedup", simhash_stage),
-    ("mixing", mixing_stage),
-    ("bpe", bpe_stage),
-]
+from souk.llm.pipeline import STAGES
 
 # The learned scores of the first stage have no SQL form; tests hold each
 # stage against brute force.
