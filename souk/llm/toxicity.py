@@ -11,10 +11,16 @@ so pairs of terms that only together make a text toxic (an insult beside a
 group's name) get weight of their own, which additive weights miss. Nothing is
 divided by the number of terms: a pair weighs the same in a text of 2,000 words as
 in one of ten. So that the very many pairs of a long text don't drown the telling
-ones, only terms with evidence in the training rows have factors: those of
-a pair whose sum of residuals (of the additive weights) over the texts with both
-is beyond the L1 term and beyond ``deviations`` standard deviations. All pairs of terms
-whose own residuals allow that are looked at. The factors of all others are zero.
+ones, factors belong to terms with evidence in the training rows, of two kinds:
+
+* terms with an additive weight in both halves of the rows, each half fitted apart;
+  their factors learn at ``shared_rate``;
+* terms of a pair whose sum of residuals (of the other half's additive weights) over
+  the texts with both is beyond the L1 term and beyond ``deviations`` standard deviations,
+  whatever their own weights; these learn at ``pair_rate``. All pairs of terms whose own
+  residuals allow that are looked at.
+
+The factors of all others are zero.
 
 Training: one task fits the machine by Adam on at most ``max_rows`` labelled
 rows and ``max_chars`` code points of them in all, the first in the order of
@@ -32,6 +38,7 @@ are no labels; with no labelled row at all every score is 0.
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -48,7 +55,7 @@ FOLDS = 5
 MAX_ROWS = 12_000
 MAX_CHARS = 48_000_000
 EPOCHS = 6
-_EDGES = rb".,;:!?\"'()[]{}<>-*_"
+_EDGES = string.punctuation.encode()
 
 
 def terms(text: bytes, buckets: int, stem: int) -> np.ndarray:
@@ -61,7 +68,7 @@ def terms(text: bytes, buckets: int, stem: int) -> np.ndarray:
         if len(word) > stem:
             head = word[: 4 * stem].decode("utf-8", "ignore")[:stem]
             found.add(zlib.crc32(b"\0" + head.encode()) % buckets)
-    return np.fromiter(found, np.int64, len(found))
+    return np.fromiter(found, np.int32, len(found))
 
 
 class Machine:
@@ -83,11 +90,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(m, -60, 60))))
 
 
-def telling(x: list[np.ndarray], r: np.ndarray, buckets: int, least: float, deviations: float, block=2048):
+def telling(x: list[np.ndarray], r: np.ndarray, buckets: int, least: float, deviations: float, block=512):
     """Places of the terms that are in a pair with evidence, by the residuals ``r`` of the
     rows: the sum over the rows with both is beyond ``least`` and ``deviations``."""
-    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    place = np.concatenate([*x, np.zeros(0, np.int64)])
+    row = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
+    place = np.concatenate([*x, np.zeros(0, np.int32)])
     sums = lambda part: np.bincount(place, part[row], buckets)
     # no pair's sum is beyond what either term's residuals of one sign add up to
     most = np.maximum(sums(np.maximum(r, 0)), sums(np.maximum(-r, 0)))
@@ -122,7 +129,7 @@ def telling(x: list[np.ndarray], r: np.ndarray, buckets: int, least: float, devi
 
 def fit(
     texts: list[bytes], labels, buckets=BUCKETS, rank=RANK, stem=STEM, epochs=EPOCHS, seed=7,
-    alpha=1.0, l1=6.0, l2=0.1, pair_rate=0.05, pair_l2=1e-3, deviations=6.0,
+    alpha=1.0, l1=6.0, l2=0.1, pair_rate=0.05, shared_rate=0.005, pair_l2=0.01, deviations=6.0,
 ) -> Machine:
     """Additive weights by follow-the-regularised-leader with an L1 term, which
     keeps the many terms without evidence at zero; pair factors by AdaGrad. The residuals
@@ -135,7 +142,7 @@ def fit(
     start = float(np.log(p / (1 - p)))
     logistic = lambda m: 1 / (1 + np.exp(-np.clip(m, -60, 60)))
 
-    def learn(rows, has):
+    def learn(rows, has, rate):
         bias, z, n, w = start, np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
         v, gv = np.zeros((buckets, rank)), np.zeros((buckets, rank))
         v[has] = rng.normal(0, 0.05, (int(has.sum()), rank))
@@ -165,17 +172,19 @@ def fit(
                 if len(two) > 1:
                     dv = g * (total - va) + pair_l2 * va
                     gv[two] += dv * dv
-                    v[two] = va - pair_rate * dv / np.sqrt(gv[two] + 1e-8)
+                    v[two] = va - rate[two, None] * dv / np.sqrt(gv[two] + 1e-8)
         return bias, w, v
 
     nothing, order = np.zeros(buckets, bool), rng.permutation(len(x))
-    r = np.zeros(len(x))
+    r, has = np.zeros(len(x)), ~nothing
     for half, other in ((order[::2], order[1::2]), (order[1::2], order[::2])):
-        bias, w, _ = learn(half, nothing)
+        bias, w, _ = learn(half, nothing, None)
         r[other] = [y[k] - logistic(bias + w[x[k]].sum()) for k in other]
-    has = nothing.copy()
-    has[telling(x, r, buckets, l1, deviations)] = True
-    bias, w, v = learn(np.arange(len(x)), has)
+        has &= w != 0
+    rate = np.full(buckets, shared_rate)
+    told = telling(x, r, buckets, l1, deviations)
+    has[told], rate[told] = True, pair_rate
+    bias, w, v = learn(np.arange(len(x)), has, rate)
     return Machine(bias, w.astype(np.float32), v.astype(np.float32), stem)
 
 
