@@ -18,10 +18,16 @@ Null ids and texts, empty texts, repeated rows and empty tables go through every
 stage as the operators define. Rows that are alike in every column share a key:
 near-dedup keeps one of them, mixing repeats one of them as often as it takes
 them all.
+
+The stages that call Python lower the session's Arrow batches from Spark's default of
+64 MB of rows to 4 MB: a batch is held by the JVM's vectors and by the worker at once, twice
+over while they grow, for each task of an executor. A limit the session set itself stays.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +37,18 @@ from souk.llm.common import KEY, row_key, staged
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+_BATCH, _SPARKS_OWN, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def _small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_BATCH, None) == _SPARKS_OWN:
+            spark.conf.set(_BATCH, _BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The key of each row beside the whole row, packed: no names can clash."""
@@ -41,11 +59,13 @@ def _unpacked(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
     return rows.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
+@_small_batches
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.scorer(spark, machine)(F.col("text")) < 0.5)
 
 
+@_small_batches
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the operator gives the text back, so the row travels without it
     rest = [c for c in docs.columns if c != "text"]
@@ -59,6 +79,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(out, docs, **changed)
 
 
+@_small_batches
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs.select("doc_id", "text", *row_key(docs)), carry=KEY)
     keys = staged(
@@ -104,6 +125,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _unpacked(out.select("_row", copies.alias("copy")), docs)
 
 
+@_small_batches
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)."""
     shared = bpe.vocabulary(spark, VOCABULARY, public_tokenizers.PATTERN)
