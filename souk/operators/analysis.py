@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.plans import leastsquares
+from souk.plans.bags import little_bootstrap_mean_ci
 from souk.plans.distributions import (
     bootstrap_mean_ci,
     box_fliers,
@@ -97,6 +99,15 @@ def mean_one_star_ci(segments: DataFrame, seed: int = 0) -> DataFrame:
     )
 
 
+def mean_wait_time_ci(orders: DataFrame, seed: int = 0) -> DataFrame:
+    """Mean wait time of the orders of each review score with a 95 % interval by a
+    bag of little bootstraps: for order-sized data, where a weight per row and
+    replicate is too much."""
+    return little_bootstrap_mean_ci(
+        orders, ["review_score"], "wait_time", "order_id", BOOT_REPLICATES, BOOT_LEVEL, seed
+    )
+
+
 def significant_coefficients(coefs: DataFrame, alpha: float = P_VALUE) -> DataFrame:
     """Coefficients whose p-value is below ``alpha``, largest first.
 
@@ -225,3 +236,14 @@ def ols(df: DataFrame, label: str, features: list[str]) -> DataFrame:
         (F.col("_se") == 0) & (F.col("coef") != 0), F.lit(0.0)
     )
     return rows.select("variable", "coef", p.alias("p_value"))
+
+
+def ols_qr(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """``ols`` by a tree of QR factorisations (``plans.leastsquares``): for features that
+    nearly depend on each other, whose covariances no longer tell them apart."""
+    rows = leastsquares.fitted(df, label, features)
+    t = F.abs(F.col("coef")) / F.col("se")
+    p = F.when(F.col("se") > 0, _two_sided_p(t, F.col("dof"))).when(
+        (F.col("se") == 0) & (F.col("coef") != 0), F.lit(0.0)
+    )
+    return rows.select("variable", "coef", p.alias("p_value"))

@@ -350,6 +350,19 @@ WHERE wait_time < whislo OR wait_time > whishi""",
         sql.ols_sql("b7", "number_of_products", BASKET_FEATURES, analysis.P_VALUE),
         ("p_value", "coef"),
     ),
+    "significant_coefs_qr": Query(
+        lambda m: analysis.significant_coefficients(
+            analysis.ols_qr(orders.order_features(m), "number_of_products", list(BASKET_FEATURES))
+        ),
+        sql.ols_sql("b7", "number_of_products", BASKET_FEATURES, analysis.P_VALUE),
+        ("p_value", "coef"),
+    ),
+    # drawn weights: no SQL; held against the full bootstrap in the tests
+    "mean_wait_time_ci": Query(
+        lambda m: analysis.mean_wait_time_ci(orders.order_features(m)),
+        None,
+        ("mean", "ci_low", "ci_high"),
+    ),
 }
 
 

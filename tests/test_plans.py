@@ -18,11 +18,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-# scans of CSV files with quoted line breaks run Python on Arrow batches
-CSV_SCANS = ("csv_reviews", "csv_rejects")
+# scans of CSV files with quoted line breaks, QR factors and drawn weights run Python on Arrow batches
+ON_BATCHES = ("csv_reviews", "csv_rejects", "significant_coefs_qr", "mean_wait_time_ci")
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in CSV_SCANS])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ON_BATCHES])
 def test_no_python_in_plans(spark, name):
     text = plan(spark_query(name)(spark, SF_SMALL))
     assert not any(node in text for node in PYTHON_NODES), name
