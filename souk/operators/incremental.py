@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import products, sellers
 from souk.operators.economics import DEFAULT_RATES, Rates, ReviewCost
-from souk.plans.skew import salted_join
+from souk.plans.skew import in_tasks, salted_join, tasks_for
 from souk.sources.catalog import Marketplace
 
 ORDER = "order_id"
@@ -144,6 +144,10 @@ class MartStore:
     def _read(self, table: str, batches: range) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.path}/{table}/{b}" for b in batches))
 
+    def _tasks(self, table: str, batches: int) -> int | None:
+        """Partitions for work on all rows of a table (counted in the files' footers)."""
+        return tasks_for(self.spark, self._read(table, range(batches)).count())
+
     def _commit(self, batch: int) -> None:
         self._write(self.spark.range(1).select(F.lit(batch).alias("batch")), "commits", batch)
 
@@ -173,8 +177,10 @@ class MartStore:
         """Those of ``pairs`` whose order no later batch changed."""
         if batches < 2:
             return pairs
-        changed = self._read("changed", range(1, batches)).groupBy(ORDER).agg(F.max("batch").alias("_last"))
-        known = salted_join(pairs, changed, ORDER, "left", spread_by=[self.spec.key], other_unique=True)
+        tasks = self._tasks("pairs", batches)
+        changed = in_tasks(self._read("changed", range(1, batches)), tasks, ORDER)
+        last = changed.groupBy(ORDER).agg(F.max("batch").alias("_last"))
+        known = salted_join(pairs, last, ORDER, "left", spread_by=[self.spec.key], other_unique=True, tasks=tasks)
         return known.filter(F.col("_last").isNull() | (F.col("batch") == F.col("_last"))).drop("_last")
 
     def totals(self) -> DataFrame:
@@ -185,7 +191,8 @@ class MartStore:
         key = self.spec.key
         rows = self._read("totals", range(batches))
         rest = [c for c in rows.columns if c not in (key, "batch")]
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_t"))
+        # a row for each batch at most, so that no entity has many
+        latest = in_tasks(rows, self._tasks("totals", batches), key).groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_t"))
         return latest.select(key, "_t.*").filter("n_pairs > 0")
 
     # --- operations -----------------------------------------------------------
@@ -204,11 +211,11 @@ class MartStore:
             raise ValueError("nothing is built yet")
         key = self.spec.key
         ids = self._write(
-            changed.select(ORDER).dropna().distinct().withColumn("batch", F.lit(batch)), "changed", batch
+            in_tasks(changed.select(ORDER).dropna(), m.order_tasks(), ORDER).distinct().withColumn("batch", F.lit(batch)), "changed", batch
         ).drop("batch")
         now = self._write(self._contributions(_only(m, ids), batch), "pairs", batch)
         old = self._read("pairs", range(batch))
-        was = self._current_pairs(self._among(old, ids, ORDER, [key]), batch)
+        was = self._current_pairs(self._among(old, ids, ORDER, [key], self._tasks("pairs", batch)), batch)
         both = now.withColumn("_sign", F.lit(1)).unionByName(was.withColumn("_sign", F.lit(-1)))
         added, gone = F.col("_sign") == 1, F.col("_sign") == -1
         change = both.groupBy(key).agg(
@@ -239,12 +246,13 @@ class MartStore:
         self._write(merged.select(self._read("totals", range(1)).columns), "totals", batch)
         self._commit(batch)
 
-    def _among(self, rows: DataFrame, ids: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    def _among(self, rows: DataFrame, ids: DataFrame, key: str, spread_by: list[str], tasks: int | None) -> DataFrame:
         """The rows whose ``key`` is one of ``ids``, which are distinct."""
-        return salted_join(rows, ids, key, spread_by=spread_by)
+        return salted_join(rows, ids, key, spread_by=spread_by, tasks=tasks)
 
     def _dates_again(self, keys: DataFrame, batch: int) -> DataFrame:
-        pairs = self._among(self._read("pairs", range(batch + 1)), keys, self.spec.key, [ORDER])
+        tasks = self._tasks("pairs", batch + 1)
+        pairs = self._among(self._read("pairs", range(batch + 1)), keys, self.spec.key, [ORDER], tasks)
         return self._current_pairs(pairs, batch + 1).groupBy(self.spec.key).agg(
             *(f(c).alias(f"_a_{c}") for c, f in self.dates.items())
         )
@@ -272,7 +280,7 @@ def _only(m: Marketplace, ids: DataFrame) -> Marketplace:
 
     return replace(
         m,
-        orders=m.orders.join(ids, ORDER, "left_semi"),
+        orders=m.orders.join(in_tasks(ids, m.order_tasks(), ORDER), ORDER, "left_semi"),
         order_items=among(m.order_items, ["order_item_id", "product_id", "seller_id"], "order_items"),
         order_reviews=among(m.order_reviews, ["review_id"], "order_reviews"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.operators.incremental import PRODUCTS, SELLERS, MartSpec, MartStore
+from souk.plans.skew import in_tasks
 from souk.sources.catalog import Marketplace
 from souk.sources.export import shared_path
 
@@ -46,7 +47,8 @@ def changed_orders(m: Marketplace) -> DataFrame:
     for k in (5, 7, 11, 13, 17):
         some = some | (key % k == 0)
     late = m.order_reviews.filter(F.col("review_id") % 3 == 0).select("order_id")
-    return m.orders.filter(some).select("order_id").unionByName(late).distinct()
+    ids = m.orders.filter(some).select("order_id").unionByName(late)
+    return in_tasks(ids, m.order_tasks(), "order_id").distinct()
 
 
 def refreshed(m: Marketplace, spec: MartSpec) -> DataFrame:
