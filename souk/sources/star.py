@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.plans.skew import salted_join
+from souk.plans.skew import in_tasks, salted_join, tasks_for
 from souk.sources.catalog import GEO_ORDER, Marketplace
 from souk.sources.schemas import MONEY
 
@@ -65,21 +65,22 @@ def star_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def star_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def star_order_items(lineitem: DataFrame, orders: DataFrame, tasks: int | None = None) -> DataFrame:
     """Items; the shipping limit needs the date of the item's order.
 
     The lookup is a left join to one row per order key (an aggregate on
     the key, so the optimizer knows the key is unique): the optimizer
     removes it altogether from every query that does not use
     ``shipping_limit_date``. Where it is used, an order holding a large
-    share of all items is split over several tasks (``salted_join``).
+    share of all items is split over several tasks (``salted_join``), and the
+    lookup is dealt out over ``tasks`` partitions.
     """
-    dates = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(
+    dates = in_tasks(orders, tasks, "o_orderkey").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(
         F.min("o_orderdate").alias("o_orderdate")
     )
     dated = salted_join(
         lineitem, dates, "l_orderkey", "left",
-        spread_by=["l_linenumber", "l_partkey", "l_suppkey"], other_unique=True,
+        spread_by=["l_linenumber", "l_partkey", "l_suppkey"], other_unique=True, tasks=tasks,
     )
     line = F.col("l_linenumber")
     price = F.floor("l_extendedprice").cast("bigint") * F.lit(Decimal("0.007")).cast(
@@ -188,14 +189,16 @@ def star_translation(part: DataFrame) -> DataFrame:
 
 
 def load_star_marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Marketplace over ``{sf_dir}/{table}.parquet`` (lazy; nothing runs)."""
+    """Marketplace over ``{sf_dir}/{table}.parquet`` (lazy; only the rows of
+    ``orders`` and ``lineitem`` are counted, from the files' footers)."""
     places = _places(spark, sf_dir)
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
     part = _read(spark, sf_dir, "part")
+    tasks = tasks_for(spark, max(orders.count(), lineitem.count()))
     return Marketplace(
         orders=star_orders(orders),
-        order_items=star_order_items(lineitem, orders),
+        order_items=star_order_items(lineitem, orders, tasks),
         order_reviews=star_order_reviews(orders),
         customers=star_customers(_read(spark, sf_dir, "customer"), places),
         sellers=star_sellers(_read(spark, sf_dir, "supplier"), places),
